@@ -81,8 +81,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _POW)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -102,7 +102,7 @@ class Words:
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         if lower:
             self.data = _LOWER[self.data]
-        space = _IS_SPACE[self.data]
+        space = IS_SPACE[self.data]
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
         self.start, self.end = edge[::2], edge[1::2]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1

@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import ExactDedup
+from .mixing import Mix
+from .packing import pack
+from .quality import QualityRules
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).plan
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = QualityRules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return found.judged.select("doc.doc_id", "rules.*", "kept")
+
+
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +31,31 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_pack_sequences": op7_pack_sequences,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 _ONE_SPACE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS m FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][rk % 3 + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS most FROM s),
+        o AS (SELECT *, row_number() OVER q AS pos,
+                     (sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(most) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+                     / sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+              FROM w WINDOW q AS (ORDER BY most / weight, source NULLS LAST)),
+        f AS (SELECT min(pos) AS free FROM o WHERE level * weight <= most),
+        t AS (SELECT source, source_size, CASE WHEN pos >= free THEN (SELECT level FROM o, f WHERE pos = free) * weight ELSE most END AS target FROM o, f),
+        l AS (SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS whole, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs,
+                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY m, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (size * epochs + greatest(0, least(size, whole - epochs * source_size - start)))::BIGINT AS taken FROM l""",
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_ONE_SPACE} AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
