@@ -8,32 +8,68 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import ExactDedup
+from .line_dedup import LineDedup
 from .mixing import Mix
+from .ngram_join import NgramJoin
 from .packing import pack
 from .quality import QualityRules
+from .secrets import find_secrets, report
+from .substring_dedup import SubstringDedup
+from .toxicity import Toxicity
+from .warc import archive_pages
+
+
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).drop("payload")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).plan
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SubstringDedup(table(spark, sf_dir, "documents")).result.drop("kept_text")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = QualityRules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.judged.select("doc.doc_id", "rules.*", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).scored
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NgramJoin(table(spark, sf_dir, "documents"), n=3, percent=90, carry=["doc_id"]).docs
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LineDedup(table(spark, sf_dir, "documents")).result.drop("kept_text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(table(spark, sf_dir, "documents")).decisions
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_mix_sources": op2_mix_sources,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -42,6 +78,14 @@ _ONE_SPACE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_archives": """
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, url, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest, body FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first_id FROM d)
+        SELECT page_id, url, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM w""",
     "op2_mix_sources": f"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS m FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
@@ -56,6 +100,18 @@ ORACLE_SQL: dict[str, str] = {
                      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY m, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, (size * epochs + greatest(0, least(size, whole - epochs * source_size - start)))::BIGINT AS taken FROM l""",
+    "op9_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n FROM d),
+        h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS hash FROM l),
+        r AS (SELECT *, (hash + 3 * coalesce(lag(hash, 1) OVER w, 0) + 9 * coalesce(lag(hash, 2) OVER w, 0)) % 4 = 0 OR i = n - 1 AS ends
+              FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
+        k AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS size FROM c GROUP BY doc_id, chunk),
+        g AS (SELECT *, size >= 2 AND regexp_matches(body, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM k)
+        SELECT doc_id, sum(size)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(size) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
+               sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_ONE_SPACE} AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

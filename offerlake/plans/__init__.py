@@ -1,0 +1,10 @@
+"""Plans bind the operators to the views and name the queries."""
+
+from importlib import import_module
+
+MODULES = ("catalog",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
