@@ -100,11 +100,10 @@ def token_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         if b - a >= n:
             yield np.unique(grams[a : b - n + 1])
         elif b > a:
-            short = words.hash[a:b]
-            whole = np.uint64(b - a)
-            for h in short:
-                whole = mix(np.array([whole + h], np.uint64))[0]
-            yield np.array([whole], np.uint64)
+            whole = np.array([b - a], np.uint64)
+            for at in range(a, b):
+                whole = mix(whole + words.hash[at])
+            yield whole
         else:
             yield np.zeros(0, np.uint64)
 
@@ -218,7 +217,7 @@ class NgramJoin:
         side = lambda x: self._classes.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"), F.col("tokens").alias(f"t_{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         total = F.col("n_a") + F.col("n_b")
-        most = F.aggregate(F.zip_with("p_a", "p_b", F.least), F.lit(0).cast("long"), lambda s, x: s + x)
+        most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
         shared = F.size(F.array_intersect("t_a", "t_b"))
         return both.where((100 + p) * most >= p * total).where((100 + p) * shared >= p * total).select("a", "b")
 
