@@ -85,7 +85,7 @@ def product_detail(products: DataFrame, offers: DataFrame, ids: Sequence[int]) -
     """Products with their active offers nested, newest first."""
     wanted = products.where(F.col("id").isin(*ids))
     active = offers.where((F.col("status") == "active") & F.col("product_id").isin(*ids))
-    nested = active.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros("last_seen_at")).alias("age"), F.col("id").alias("offer_id"), "current_price"))).alias("offers"))
+    nested = active.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("last_seen_at").cast("timestamp"))).alias("age"), F.col("id").alias("offer_id"), "current_price"))).alias("offers"))
     return wanted.join(nested, F.col("id") == F.col("product_id"), "left").drop("product_id")
 
 
