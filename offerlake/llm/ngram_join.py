@@ -38,6 +38,8 @@ from .filters import MAX_BITS, KeyFilter, key_filter
 COORDINATES = 32
 #: Points in a leaf of the tree, and in a page of a large bucket.
 LEAF, PAGE = 16, 512
+#: Bucket members, on average, that one call searches.
+GROUP_ROWS = 4096
 #: Rounds of single comparisons before the search of all pairs.
 ROUNDS = 3
 #: Ratio of the smallest to the largest size in a band.
@@ -149,23 +151,33 @@ class RTree:
 
 
 def _page_pairs(percent: int):
-    """Surviving pairs of different components between the two sides of a page pair (or inside one page)."""
+    """Surviving pairs of different components between the two sides of each page pair (or inside one page)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = ["key", "page_a", "page_b", "n", "component", "v", "page"]
+        key, page_a, page_b, sizes, comp, v, page = (pdf[c].to_numpy() for c in columns)
         points = np.stack(pdf["point"].to_numpy())
-        sizes, comp, v, page = (pdf[c].to_numpy() for c in ("n", "component", "v", "page"))
-        own = page == pdf["page_a"].to_numpy()
-        inside = pdf["page_a"].iloc[0] == pdf["page_b"].iloc[0]
-        left = np.flatnonzero(own)
-        right = left if inside else np.flatnonzero(~own)
+        order = np.lexsort((v, page_b, page_a, key))
+        new = np.zeros(len(order), bool)
+        for c in (key, page_a, page_b):
+            new[1:] |= c[order][1:] != c[order][:-1]
         pairs = []
-        if len(left) and len(right):
+        for rows in np.split(order, np.flatnonzero(new)):
+            if len(rows) < 2 or (comp[rows] == comp[rows[0]]).all():
+                continue
+            inside = page_a[rows[0]] == page_b[rows[0]]
+            own = page[rows] == page_a[rows[0]]
+            left = rows[own]
+            right = left if inside else rows[~own]
+            if not len(left) or not len(right):
+                continue
             tree = RTree(points[right], sizes[right])
             for i in left:
                 found = right[tree.search(points[i], sizes[i], percent)]
                 found = found[(comp[found] != comp[i]) & ((v[found] > v[i]) | (not inside))]
-                pairs.append(np.stack([np.minimum(v[i], v[found]), np.maximum(v[i], v[found])], axis=1))
-        both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+                if len(found):
+                    pairs.append(np.stack([np.minimum(v[i], v[found]), np.maximum(v[i], v[found])], axis=1))
+        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         return pd.DataFrame(both, columns=["a", "b"])
 
     return run
@@ -247,12 +259,15 @@ class NgramJoin:
 
     def _searched(self, rest: DataFrame) -> DataFrame:
         """All pairs of different components in the buckets that the trees don't rule out."""
+        rest = stage(rest, "join-rest")
         points = rest.join(self._classes.select("v", "n", "point"), "v")
         pages = F.ceil(F.col("members") / PAGE).cast("long")
         paged = points.withColumn("page", F.pmod(F.xxhash64("v"), pages))
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), pages - 1), lambda x: F.struct(F.least(x, F.col("page")).alias("page_a"), F.greatest(x, F.col("page")).alias("page_b")))
         dealt = paged.withColumn("pair", F.explode(pairs)).select("key", "v", "component", "n", "point", "page", "pair.page_a", "pair.page_b")
-        return dealt.groupBy("key", "page_a", "page_b").applyInPandas(_page_pairs(self._percent), "a long, b long")
+        # Most buckets are small: a task's group holds many of them, and each has its own tree.
+        group = F.pmod(F.xxhash64("key", "page_a", "page_b"), F.lit(max(1, -(-rest.count() // GROUP_ROWS))))
+        return dealt.withColumn("group", group).groupBy("group").applyInPandas(_page_pairs(self._percent), "a long, b long")
 
 
 def _digest(tokens: np.ndarray) -> str:

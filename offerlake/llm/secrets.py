@@ -28,8 +28,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 MIN_VALUE = 8
 
-#: Tokens that the models judge: at least 16 characters, with a digit; and the identifiers they learn from.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: Tokens that the models judge: at least 16 characters, with a digit and a letter; and the identifiers they learn from.
+CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z_]{12,}(?![A-Za-z0-9_])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_TOKENS = 50_000
