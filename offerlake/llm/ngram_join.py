@@ -72,6 +72,8 @@ class Scheme:
     def keys(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Per band: how many of the keys a linked pair shares at least, and the keys."""
         out = []
+        if not len(tokens):
+            return out
         spread = mix(tokens)
         for band in self.bands(len(tokens)):
             d, s = int(self.differ[band]), int(self.spare[band])
