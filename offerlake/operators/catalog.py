@@ -68,17 +68,21 @@ def page_count(total: Column, size: int) -> Column:
     return F.ceil(total / size).cast("long")
 
 
-SORTS = {
-    "highest_discount": [F.col("discount_percent").desc_nulls_last()],
-    "relevance": [],
-    "lowest_price": [F.col("current_price").asc_nulls_last()],
-    "most_recent": [F.col("created_at").desc_nulls_last()],
-}
+SORTS = ("highest_discount", "relevance", "lowest_price", "most_recent")
+
+
+def sort_keys(mode: str) -> list[Column]:
+    """The order of a sort mode; relevance keeps the order in which the rows came."""
+    keys = {"highest_discount": ("discount_percent", False), "lowest_price": ("current_price", True), "most_recent": ("created_at", False)}
+    if mode == "relevance":
+        return []
+    name, ascending = keys[mode]
+    return [F.col(name).asc_nulls_last() if ascending else F.col(name).desc_nulls_last()]
 
 
 def sorted_by(df: DataFrame, mode: str, api_rank: str = "api_rank") -> DataFrame:
     """A sort mode, stable over the rank in which the rows came."""
-    return df.orderBy(*SORTS[mode], F.col(api_rank))
+    return df.orderBy(*sort_keys(mode), F.col(api_rank))
 
 
 def product_detail(products: DataFrame, offers: DataFrame, ids: Sequence[int]) -> DataFrame:

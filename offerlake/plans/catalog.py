@@ -111,7 +111,8 @@ _RANKED = "SELECT *, row_number() OVER (ORDER BY discount_percent DESC NULLS LAS
 def sort_modes(v):
     out = None
     base = [F.col("discount_percent").desc_nulls_last(), F.desc("created_at"), F.col("id")]
-    for mode, keys in C.SORTS.items():
+    for mode in C.SORTS:
+        keys = C.sort_keys(mode)
         first = v.v_catalog.orderBy(*keys, *base).limit(40)
         part = first.select(F.lit(mode).alias("mode"), "id", F.row_number().over(Window.orderBy(*keys, *base)).cast("long").alias("place"))  # 40 rows
         out = part if out is None else out.unionByName(part)
