@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalog",)
+MODULES = ("catalog", "attributes")
 
 
 def load_all() -> None:
