@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalog", "attributes")
+MODULES = ("catalog", "attributes", "sections", "facets")
 
 
 def load_all() -> None:
