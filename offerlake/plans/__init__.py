@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalog", "attributes", "sections", "facets", "scores", "maintenance")
+MODULES = ("catalog", "attributes", "sections", "facets", "scores", "maintenance", "streams")
 
 
 def load_all() -> None:
