@@ -69,8 +69,12 @@ class Scheme:
         first = -(-self.percent * n // 100)
         return range(int(np.searchsorted(self.lows, first, "right")) - 1, int(np.searchsorted(self.lows, n, "right")))
 
-    def keys(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Per band: how many of the keys a linked pair shares at least, and the keys."""
+    def keys(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Per band: how many of the keys a linked pair shares at least, the keys, and which of them suffice when fewer are shared.
+
+        A set with many small groups may link with one that has few, and that one has no keys of small groups:
+        all that they surely share is the key of one other group.
+        """
         out = []
         if not len(tokens):
             return out
@@ -89,9 +93,20 @@ class Scheme:
             small = count < self.least
             n_small = int(small.sum())
             if n_small <= s:
-                out.append((max(1, s + 1 - n_small), keys[~small]))
+                out.append((max(1, s + 1 - n_small), keys[~small], np.zeros(k - n_small, bool)))
             else:
-                out.append((s + 1, keys))
+                out.append((s + 1, keys, ~small))
+        return out
+
+    def shared(self, tokens: np.ndarray, keep: KeyFilter) -> list[np.ndarray]:
+        """The keys per band that may bring the set together with one that it links with."""
+        out = []
+        for least, keys, alone in self.keys(tokens):
+            hit = keep.hits(keys)
+            if np.count_nonzero(hit) < least:
+                hit = hit & alone
+            if hit.any():
+                out.append(keys[hit])
         return out
 
 
@@ -292,7 +307,7 @@ def _all_keys(n: int, scheme: Scheme):
                     name = _digest(tokens)
                     if name not in seen:
                         seen.add(name)
-                        out += [k for _, k in scheme.keys(tokens)]
+                        out += [k for _, k, _ in scheme.keys(tokens)]
                 if len(seen) > SEEN:
                     seen.clear()
                 if out:
@@ -318,10 +333,7 @@ def _sets(docs: DataFrame, n: int, scheme: Scheme, keep: KeyFilter, id_col: str,
                     name, keys = _digest(tokens), []
                     if name not in seen:
                         seen.add(name)
-                        for least, k in scheme.keys(tokens):
-                            k = k[keep.hits(k)]
-                            if len(k) >= least:
-                                keys.append(k)
+                        keys = scheme.shared(tokens, keep)
                     if keys:
                         out.append((len(tokens), name, np.concatenate(keys).view(np.int64), point(tokens), tokens.view(np.int64)))
                     else:

@@ -113,6 +113,21 @@ def test_ngram_join(docs, rows, n, percent, bits):
     assert sorted(r.doc_id for r in found.kept.collect()) == sorted([*alone, *{root(d) for d in ids if sets[d]}])
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_ngram_join_links_short_texts(spark, percent):
+    """Pairs of 4 to 30 shingles, one a little shorter than the other or with a word changed; pairs share no words."""
+    rng, pairs = random.Random(7), []
+    for i in range(1500):
+        words = [f"w{i}x{rng.randrange(10**6)}" for _ in range(rng.randint(6, 32))]
+        pairs.append((words, words[: -rng.randint(1, 4)] if rng.random() < 0.7 else [*words[:-1], "end"]))
+    sets = [[shingles(" ".join(words), 3) for words in pair] for pair in pairs]
+    expected = {i for i, (a, b) in enumerate(sets) if 100 * len(a & b) >= percent * len(a | b)}
+    docs = spark.createDataFrame([(2 * i + j, " ".join(words)) for i, pair in enumerate(pairs) for j, words in enumerate(pair)], "doc_id long, text string")
+    found = {r.doc_id // 2 for r in ngram_join.NgramJoin(docs, n=3, percent=percent).docs.where("doc_id <> component_id").collect()}
+    assert len(expected) > 100
+    assert found == expected
+
+
 @pytest.mark.parametrize(("bits", "hot"), [(1 << 29, 5000), (1, 1)])
 def test_substring_dedup(docs, rows, bits, hot):
     first = {}
