@@ -67,7 +67,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 
 
 class Mix:
-    """``plan``: a row per document with what the mix takes; ``rows``: the mixed documents in training order."""
+    """``plan``: a row per document with what the mix takes; ``schedule``: the plan with its training positions, in
+    training order; ``rows``: the mixed documents in training order."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, curriculum=CURRICULUM):
         carry = docs.columns if carry is None else carry
@@ -91,13 +92,29 @@ class Mix:
         self._curriculum = curriculum
         self._columns = carry
 
+    def _words(self, epoch: Column) -> Column:
+        return F.when(epoch < F.col("epochs"), F.col("size")).otherwise(F.col("rest"))
+
+    def _position(self, epoch: Column) -> Column:
+        """Training time of the middle of the words that an epoch takes of a document."""
+        done = (epoch * F.col("source_size") + F.col("start") + self._words(epoch) / 2) / F.col("target")
+        return position(done, F.col("cls"), self._curriculum)
+
+    @property
+    def schedule(self) -> DataFrame:
+        """``positions``: a training position per epoch that takes words of the document, none for what the mix leaves out (last)."""
+        epochs = F.filter(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: self._words(e) > 0)
+        taken = (F.col("size") * F.col("epochs") + F.col("rest")).alias("taken")
+        placed = self.laid.select("id", "doc", "size", "source_size", "target", taken, F.transform(epochs, self._position).alias("positions"))
+        ordered = placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "id")
+        return ordered.select("doc.*", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
+
     @property
     def rows(self) -> DataFrame:
         """A document repeats once an epoch; the one on which a source's target ends is cut after its last word taken."""
-        words = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("rest"))
-        many = self.laid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))).alias("epoch")).withColumn("words", words).where("words > 0")
-        done = (F.col("epoch") * F.col("source_size") + F.col("start") + F.col("words") / 2) / F.col("target")
+        epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))).alias("epoch")
+        many = self.laid.select("*", epochs).withColumn("words", self._words(F.col("epoch"))).where("words > 0")
         text = F.col(f"doc.{self._text}")
         cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(word_array(text), 1, F.col("words").cast("int")), " ")).otherwise(text)
-        placed = many.select(position(done, F.col("cls"), self._curriculum).alias("position"), "id", "epoch", F.col("doc").withField(self._text, cut).alias("doc"))
+        placed = many.select(self._position(F.col("epoch")).alias("position"), "id", "epoch", F.col("doc").withField(self._text, cut).alias("doc"))
         return placed.orderBy("position", "id", "epoch").select("doc.*")

@@ -24,7 +24,7 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).plan
+    return Mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).schedule
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

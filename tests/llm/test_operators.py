@@ -170,6 +170,48 @@ def test_mix(docs, rows):
     assert mix.rows.columns == docs.columns
 
 
+def test_mix_positions(spark, rows):
+    """Positions against a bisection of the integrated schedule; the rows come in their order, here and in the query."""
+    from offerlake.llm import mixing, queries
+
+    docs = spark.createDataFrame(rows[:-2], SCHEMA).repartition(3)
+    by_id = {r[0]: r for r in rows[:-2]}
+    size = {d: len(WORD.findall(r[1] or "")) for d, r in by_id.items()}
+
+    def met(knots, t, steps=4000):
+        at = [(i + 0.5) * t / steps for i in range(steps)]
+        return t / steps * sum(np.interp(at, np.linspace(0, 1, len(knots)), knots))
+
+    found = Mix(docs, carry=["doc_id"]).schedule.collect()
+    sources = sorted({r[3] for r in by_id.values()}, key=lambda s: (s is None, s or ""))
+    order = []
+    for place, source in enumerate(sources):
+        knots = mixing.CURRICULUM[place % 3]
+        own = sorted((d for d in by_id if by_id[d][3] == source), key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d))
+        plan = {r.doc_id: r for r in found if by_id[r.doc_id][3] == source}
+        target, total = plan[own[0]].target, sum(size[d] for d in own)
+        epoch = start = 0
+        while start < int(target):
+            for d in own:
+                words = min(size[d], int(target) - start)
+                if words > 0:
+                    low, high, goal = 0.0, 1.0, (start + words / 2) / target * met(knots, 1.0)
+                    for _ in range(20):
+                        middle = (low + high) / 2
+                        low, high = (middle, high) if met(knots, middle, 200) < goal else (low, middle)
+                    assert plan[d].positions[epoch] == pytest.approx(low, abs=1e-3)
+                    order.append((plan[d].positions[epoch], d, epoch))
+                start += size[d]
+            epoch, start = epoch + 1, (epoch + 1) * total
+    assert sum(len(r.positions) for r in found) == len(order)
+    assert [r.doc_id for r in Mix(docs).rows.collect()] == [d for _, d, _ in sorted(order)]
+    first = [(r.position is None, r.position or 0.0, r.doc_id) for r in found]
+    assert first == sorted(first)
+    told = queries.op2_mix_sources(spark, "/root/testdata/sf0.001").select("position").collect()
+    placed = [r.position for r in told if r.position is not None]
+    assert placed and placed == sorted(placed)
+
+
 def test_packing(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
