@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 
 def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key; Spark prunes ranks before the shuffle."""
@@ -68,6 +70,19 @@ def page_count(total: Column, size: int) -> Column:
     return F.ceil(total / size).cast("long")
 
 
+def placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """All rows in a total order, with ``place`` from 1: sorted by range, numbered within each part, and moved on by the rows of
+    the parts before. The sorted rows are staged, so that both passes see the same parts."""
+    path = shared_path(df.sparkSession, "placed")
+    df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_before") + within + 1).drop("_at", "_part", "_before")
+
+
 SORTS = ("highest_discount", "relevance", "lowest_price", "most_recent")
 
 

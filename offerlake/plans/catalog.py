@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
@@ -119,6 +121,18 @@ def sort_modes(v):
     return out
 
 
+@query("sort_modes_whole", f"""
+    WITH r AS ({_RANKED})
+      SELECT 'highest_discount' AS mode, id, row_number() OVER (ORDER BY discount_percent DESC NULLS LAST, api_rank) AS place FROM r UNION ALL
+      SELECT 'relevance', id, row_number() OVER (ORDER BY api_rank) FROM r UNION ALL
+      SELECT 'lowest_price', id, row_number() OVER (ORDER BY current_price ASC NULLS LAST, api_rank) FROM r UNION ALL
+      SELECT 'most_recent', id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, api_rank) FROM r""")
+def sort_modes_whole(v):
+    base = [F.col("discount_percent").desc_nulls_last(), F.desc("created_at"), F.col("id")]
+    parts = [C.placed(v.v_catalog, [*C.sort_keys(mode), *base]).select(F.lit(mode).alias("mode"), "id", "place") for mode in C.SORTS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("pagination", """
     WITH f AS (SELECT id, discount_percent, current_price FROM v_catalog ORDER BY discount_percent DESC NULLS LAST, id LIMIT 20 OFFSET 40)
     SELECT id, discount_percent, (SELECT CAST(ceil(count(*) / 20.0) AS bigint) FROM v_catalog) AS pages FROM f WHERE current_price > 0""")
@@ -133,6 +147,11 @@ def triage_order(v):
     return v.v_triage.orderBy(F.col("priority").desc_nulls_first(), F.col("created_at").asc_nulls_last(), "id").limit(100).select("id", "priority", "created_at")
 
 
+@query("triage_order_whole", "SELECT id, priority, created_at, row_number() OVER (ORDER BY priority DESC NULLS FIRST, created_at ASC NULLS LAST, id) AS place FROM v_triage")
+def triage_order_whole(v):
+    return C.placed(v.v_triage, [F.col("priority").desc_nulls_first(), F.col("created_at").asc_nulls_last(), F.col("id")]).select("id", "priority", "created_at", "place")
+
+
 @query("source_order", "SELECT id, name, priority, starts_at, row_number() OVER (ORDER BY priority DESC NULLS FIRST, starts_at ASC NULLS LAST, name, id) AS place FROM v_sources")
 def source_order(v):
     order = [F.col("priority").desc_nulls_first(), F.col("starts_at").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("id")]
@@ -144,6 +163,12 @@ def collected_order(v):
     return v.v_processed.orderBy(F.coalesce("discount_percent", F.lit(0)).desc(), F.coalesce("quantity", F.lit(0)).desc(), "id").limit(200).select("id", "discount_percent", "quantity")
 
 
+@query("collected_order_whole", "SELECT id, discount_percent, quantity, row_number() OVER (ORDER BY coalesce(discount_percent, 0) DESC, coalesce(quantity, 0) DESC, id) AS place FROM v_processed")
+def collected_order_whole(v):
+    order = [F.coalesce("discount_percent", F.lit(0)).desc(), F.coalesce("quantity", F.lit(0)).desc(), F.col("id")]
+    return C.placed(v.v_processed, order).select("id", "discount_percent", "quantity", "place")
+
+
 @query("review_sorts", """
     SELECT * FROM (SELECT 'discount' AS mode, id FROM v_processed ORDER BY coalesce(discount_percent, 0) DESC, id LIMIT 30) UNION ALL
     SELECT * FROM (SELECT 'reviews', id FROM v_processed ORDER BY coalesce(quantity, 0) DESC, id LIMIT 30) UNION ALL
@@ -154,6 +179,16 @@ def review_sorts(v):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("review_sorts_whole", """
+    SELECT 'discount' AS mode, id, row_number() OVER (ORDER BY coalesce(discount_percent, 0) DESC, id) AS place FROM v_processed UNION ALL
+    SELECT 'reviews', id, row_number() OVER (ORDER BY coalesce(quantity, 0) DESC, id) FROM v_processed UNION ALL
+    SELECT 'price', id, row_number() OVER (ORDER BY price ASC NULLS LAST, id) FROM v_processed""")
+def review_sorts_whole(v):
+    modes = {"discount": F.coalesce("discount_percent", F.lit(0)).desc(), "reviews": F.coalesce("quantity", F.lit(0)).desc(), "price": F.col("price").asc_nulls_last()}
+    parts = [C.placed(v.v_processed, [key, F.col("id")]).select(F.lit(mode).alias("mode"), "id", "place") for mode, key in modes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("top_products", "SELECT id, discount_percent FROM v_catalog ORDER BY discount_percent DESC NULLS LAST, id LIMIT 16")
 def top_products(v):
     return v.v_catalog.orderBy(F.col("discount_percent").desc_nulls_last(), "id").limit(16).select("id", "discount_percent")

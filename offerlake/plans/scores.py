@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog as C
 from ..operators import scoring as G
 from ..registry import query
 
@@ -82,3 +83,9 @@ def decision_averages(v):
 @query("decision_ranking", f"WITH {_DECIDED} SELECT id, score FROM d ORDER BY score DESC, id LIMIT 50")
 def decision_ranking(v):
     return _decided(v).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+
+
+@query("decision_ranking_whole", f"WITH {_DECIDED} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM d")
+def decision_ranking_whole(v):
+    ranked = _decided(v).select("id", F.round("score", 6).alias("score"))
+    return C.placed(ranked, [F.desc("score"), F.col("id")])
