@@ -100,10 +100,12 @@ def sorted_by(df: DataFrame, mode: str, api_rank: str = "api_rank") -> DataFrame
     return df.orderBy(*sort_keys(mode), F.col(api_rank))
 
 
-def product_detail(products: DataFrame, offers: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """Products with their active offers nested, newest first."""
-    wanted = products.where(F.col("id").isin(*ids))
-    active = offers.where((F.col("status") == "active") & F.col("product_id").isin(*ids))
+def product_detail(products: DataFrame, offers: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
+    """Products with their active offers nested, newest first; all products, or those with the ids."""
+    wanted = products if ids is None else products.where(F.col("id").isin(*ids))
+    active = offers.where("status = 'active'")
+    if ids is not None:
+        active = active.where(F.col("product_id").isin(*ids))
     nested = active.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("last_seen_at").cast("timestamp"))).alias("age"), F.col("id").alias("offer_id"), "current_price"))).alias("offers"))
     return wanted.join(nested, F.col("id") == F.col("product_id"), "left").drop("product_id")
 

@@ -80,7 +80,18 @@ def brand_in_list(v):
     FROM v_products p LEFT JOIN v_brands b ON b.slug = p.brand_slug LEFT JOIN v_categories c ON c.slug = p.category_slug LEFT JOIN v_offers o ON o.product_id = p.id AND o.status = 'active'
     WHERE p.id IN (1, 5, 17, 40, 100, 199) GROUP BY ALL""")
 def product_detail(v):
-    nested = C.product_detail(C.with_dimensions(v.v_products, v.v_brands, v.v_categories), v.v_offers, [1, 5, 17, 40, 100, 199])
+    return _detail(C.product_detail(C.with_dimensions(v.v_products, v.v_brands, v.v_categories), v.v_offers, [1, 5, 17, 40, 100, 199]))
+
+
+@query("product_detail_whole", """
+    SELECT p.id, p.main_name, b.name AS brand_name, c.name AS category_name, count(o.id) AS n_offers, first(o.id ORDER BY o.last_seen_at DESC, o.id) AS newest_offer, min(o.current_price) AS lowest_price
+    FROM v_products p LEFT JOIN v_brands b ON b.slug = p.brand_slug LEFT JOIN v_categories c ON c.slug = p.category_slug LEFT JOIN v_offers o ON o.product_id = p.id AND o.status = 'active'
+    GROUP BY ALL""")
+def product_detail_whole(v):
+    return _detail(C.product_detail(C.with_dimensions(v.v_products, v.v_brands, v.v_categories), v.v_offers))
+
+
+def _detail(nested):
     return nested.select("id", "main_name", "brand_name", "category_name", F.coalesce(F.when(F.col("offers").isNotNull(), F.size("offers")), F.lit(0)).cast("long").alias("n_offers"), F.get("offers", F.lit(0)).offer_id.alias("newest_offer"), F.array_min(F.transform("offers", lambda o: o.current_price)).alias("lowest_price"))
 
 
