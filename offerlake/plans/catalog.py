@@ -166,7 +166,7 @@ def triage_order_whole(v):
 @query("source_order", "SELECT id, name, priority, starts_at, row_number() OVER (ORDER BY priority DESC NULLS FIRST, starts_at ASC NULLS LAST, name, id) AS place FROM v_sources")
 def source_order(v):
     order = [F.col("priority").desc_nulls_first(), F.col("starts_at").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("id")]
-    return v.v_sources.select("id", "name", "priority", "starts_at", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # a dimension table
+    return C.placed(v.v_sources, order).select("id", "name", "priority", "starts_at", "place")
 
 
 @query("collected_order", "SELECT id, discount_percent, quantity FROM v_processed ORDER BY coalesce(discount_percent, 0) DESC, coalesce(quantity, 0) DESC, id LIMIT 200")
