@@ -39,7 +39,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def drop(staged: DataFrame) -> None:
+    """Deletes a table that ``stage`` wrote, once no job needs it any more."""
+    spark = staged.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits(rows: int, row_bytes: int) -> bool:

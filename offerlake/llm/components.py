@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     written to the shared folder, so lineage stays short and a lost executor repeats one round at most.
     """
     both = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     labels = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("vertex")).alias("component"))
     labels = stage(labels, "labels")
     while True:
@@ -22,6 +24,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = labels.join(near, "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         hop = least.select(F.col("vertex").alias("component"), F.col("component").alias("further"))
         stepped = stage(least.join(hop, "component", "left").select("vertex", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        drop(labels)
         labels = stepped.select("vertex", "component")
+        labels.staged_at = stepped.staged_at
         if stepped.where("component <> was").isEmpty():
             return labels

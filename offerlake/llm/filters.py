@@ -15,25 +15,20 @@ _PAGE_BITS = 32768  # of Spark's bitmap functions
 class KeyFilter:
     """May hold false positives, never false negatives; a join must follow."""
 
-    def __init__(self, bits: Broadcast | None, size: int):
+    def __init__(self, bits: Broadcast, size: int):
         self.bits, self.size = bits, size
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            return np.ones(len(keys), bool)
         at = (keys & np.uint64(self.size - 1)).astype(np.int64)
         return (self.bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
 def key_filter(keys: DataFrame, column: str, n: int, max_bits: int = MAX_BITS) -> KeyFilter:
-    """The filter of n keys. If they would fill more than a quarter of the largest bitmap, it lets
-    everything pass, and the join after it does all the work."""
-    if n * 4 > max_bits:
-        return KeyFilter(None, 0)
+    """The filter of n keys. The more of the largest bitmap they fill, the more passes; the plan stays the same."""
     size = min(max_bits, max(_PAGE_BITS, 1 << (32 * n).bit_length()))
     at = F.col(column).bitwiseAND(F.lit(size - 1).cast("long")) + 1
     pages = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = np.zeros(size // 8, np.uint8)
+    bits = np.zeros(max(size, _PAGE_BITS) // 8, np.uint8)
     for row in pages.toLocalIterator():  # size / 32768 rows at most
         bits[(row.page - 1) * _PAGE_BITS // 8 : row.page * _PAGE_BITS // 8] = np.frombuffer(row.bits, np.uint8)
     return KeyFilter(keys.sparkSession.sparkContext.broadcast(bits), size)

@@ -1,22 +1,28 @@
-"""Similarity join on word n-gram sets, over an R-tree of count vectors.
+"""Similarity join on word n-gram sets, over R-trees of count vectors.
 
 Tokens (hashed n-grams) are dealt to groups, and a set's group counts are a point. Two sets share at most
-the sum of their coordinates' minima, so a subtree or a point whose sum falls short of the overlap that
-the threshold needs is skipped. Survivors are verified on the sets themselves.
+the sum of their coordinates' minima, so a node or a point whose sum falls short of the overlap that the
+threshold needs is skipped. Survivors are verified on the sets themselves.
 
 So that no task needs all points, they are first brought together by the groups' contents. Sets of like
 sizes deal their tokens to K = D + 1 + S groups, where D is the largest symmetric difference of a linked
-pair: at least S + 1 groups must then hold the same tokens. A group's content hash is the key of a bucket,
-and each bucket has a tree of its own. Groups with few tokens are no keys, unless so many of a set's
-groups are small that they could be all that a pair shares. No link is lost by either rule.
-
-Exact copies collapse to one class first. Inside a bucket, rounds of single comparisons per class join
-most of its members to components; only pairs of different components are then searched, tree by tree,
-in pages of bounded size. Components come from the verified links.
+pair: at least S + 1 groups must then hold the same tokens. A group's content hash is a key. Groups with
+few tokens are no keys, unless so many of a set's groups are small that they could be all that a pair
+shares. No link is lost by either rule.
+
+Exact copies collapse to one class first. Classes that share enough keys with the same first class make a
+cluster. A cluster's sets travel once, in pages of bounded size; each page has a tree, and every set of it
+searches the tree for sets of other components, best bound first, so that most of a group of near copies
+is joined by a comparison or two a set. Clusters of several pages are dealt anew once, their components
+known. Pairs of different components that share keys but never met in a page are then searched by key,
+again tree by tree: the members outside a key's largest component against all others. Only what the trees
+let pass is verified. Components come from the verified links.
 
 Defined results: a null, empty or blank text has no n-grams and links with nothing; a text with fewer
-words is one n-gram by itself. Repeated rows are exact copies. A null id never names a component unless
-all ids in it are null.
+words is one n-gram by itself. Repeated rows are exact copies; ties of ids are one document's name. A null
+id never names a component unless all ids in it are null. An empty table gives an empty result. Texts of
+any length are taken whole: a page then holds fewer sets. Columns of the input travel in a struct, so none
+can clash.
 """
 
 from __future__ import annotations
@@ -30,21 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batches_of_texts, mix, small, stage, text_bytes
+from .common import Words, batches_of_texts, drop, mix, small, stage, text_bytes
 from .components import connected_components
 from .filters import MAX_BITS, KeyFilter, key_filter
 
 #: Coordinates of a point.
-COORDINATES = 32
-#: Points in a leaf of the tree, and in a page of a large bucket.
-LEAF, PAGE = 16, 512
-#: Bucket members, on average, that one call searches.
-GROUP_ROWS = 4096
-#: Rounds of single comparisons before the search of all pairs.
-ROUNDS = 3
+COORDINATES = 64
+#: Points in a leaf of the tree; sets, and tokens on average, in a page of a cluster or key.
+LEAF, PAGE, PAGE_TOKENS = 16, 512, 4 << 20
+#: Rows and tokens, on average, that one call searches.
+GROUP_ROWS, GROUP_TOKENS = 4096, 2 << 20
+#: Deals of a cluster of several pages, and steps that a class takes to its cluster's first one.
+TURNS, HOPS = 2, 2
 #: Ratio of the smallest to the largest size in a band.
-BAND = 0.85
-_SMALL_GROUP = 3
+BAND = 0.7
 #: Sets that a task remembers, so as to send copies once.
 SEEN = 200_000
 
@@ -58,10 +63,10 @@ class Scheme:
         while lows[-1] < 1 << 40:
             lows.append(max(lows[-1] + 1, int(lows[-1] / BAND)))
         self.lows = np.array(lows)
-        most = self.lows[1:] - 1
-        self.differ = (100 - percent) * most // percent  # the largest symmetric difference with a smaller set in the band
+        self.most = self.lows[1:] - 1
+        self.differ = (100 - percent) * self.most // percent  # the largest symmetric difference with a smaller set in the band
         #: With a tighter threshold groups hold more tokens, so fewer of them are small.
-        self.least = _SMALL_GROUP if percent >= 85 else 1
+        self.least = 2 if percent >= 85 else 1
         self.spare = 3 + self.differ * (5 if percent >= 85 else 10) // 100
 
     def bands(self, n: int) -> range:
@@ -73,41 +78,46 @@ class Scheme:
         """Per band: how many of the keys a linked pair shares at least, the keys, and which of them suffice when fewer are shared.
 
         A set with many small groups may link with one that has few, and that one has no keys of small groups:
-        all that they surely share is the key of one other group.
+        all that they surely share is the key of one other group. A set whose own size allows a smaller
+        difference than D leaves out as many of the last groups.
         """
-        out = []
-        if not len(tokens):
+        out, n, p = [], len(tokens), self.percent
+        if not n:
             return out
         spread = mix(tokens)
-        for band in self.bands(len(tokens)):
+        bands = self.bands(n)
+        for band in bands:
             d, s = int(self.differ[band]), int(self.spare[band])
             if not d:
                 continue  # equal sets only, which are one class
             k = d + 1 + s
+            own = (100 - p) * n // p if band == bands[-1] else (100 - p) * (int(self.most[band]) + n) // (100 + p)
+            last = k - max(0, d - own)
             group = ((tokens >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
             content = np.zeros(k, np.uint64)
             np.add.at(content, group, spread)
             count = np.bincount(group, minlength=k)
             salt = mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 32))
-            keys = mix(content + salt + count.astype(np.uint64))
-            small = count < self.least
+            keys = mix(content + salt + count.astype(np.uint64))[:last]
+            small = count[:last] < self.least
             n_small = int(small.sum())
             if n_small <= s:
-                out.append((max(1, s + 1 - n_small), keys[~small], np.zeros(k - n_small, bool)))
+                out.append((max(1, s + 1 - n_small), keys[~small], np.zeros(last - n_small, bool)))
             else:
                 out.append((s + 1, keys, ~small))
         return out
 
-    def shared(self, tokens: np.ndarray, keep: KeyFilter) -> list[np.ndarray]:
-        """The keys per band that may bring the set together with one that it links with."""
-        out = []
+    def shared(self, tokens: np.ndarray, keep: KeyFilter) -> tuple[int, list[np.ndarray]]:
+        """The keys per band that may bring the set together with one that it links with, and the least number that a pair shares."""
+        out, fewest = [], 0
         for least, keys, alone in self.keys(tokens):
             hit = keep.hits(keys)
             if np.count_nonzero(hit) < least:
                 hit = hit & alone
             if hit.any():
                 out.append(keys[hit])
-        return out
+                fewest = min(fewest or least, least)
+        return fewest, out
 
 
 def token_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -128,74 +138,127 @@ def token_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+    return np.bincount((tokens & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are alike enough."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int(np.count_nonzero(b[at] == a))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 class RTree:
-    """Leaves of neighbouring points under a level of parents; each node keeps its largest coordinates and smallest size."""
+    """Leaves of neighbouring points under a level of parents; each node keeps its largest coordinates and its range of sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points[:, 1], points[:, 0], sizes))  # packed by size first
-        self.order = order
-        cut = np.arange(0, len(order), LEAF)
-        self.cut = np.append(cut, len(order))
-        self.high = np.maximum.reduceat(points[order], cut)
-        self.low_size = np.minimum.reduceat(sizes[order], cut)
-        self.high_size = np.maximum.reduceat(sizes[order], cut)
-        up = np.arange(0, len(cut), LEAF)
-        self.up = np.append(up, len(cut))
+        self.points, self.sizes = points, sizes
+        parts, leaves = [np.arange(len(sizes))], []
+        while parts:  # halved at the median of the widest coordinate
+            rows = parts.pop()
+            if len(rows) <= LEAF:
+                leaves.append(rows)
+                continue
+            at = points[rows]
+            widest = int(np.argmax(at.max(axis=0) - at.min(axis=0)))
+            halves = np.argpartition(at[:, widest], len(rows) // 2)
+            parts += [rows[halves[len(rows) // 2 :]], rows[halves[: len(rows) // 2]]]
+        self.order = np.concatenate(leaves)
+        cut = np.cumsum([0, *map(len, leaves)])
+        up = np.arange(0, len(leaves), LEAF)
+        self.cut, self.up = cut, np.append(up, len(leaves))
+        self.high = np.maximum.reduceat(points[self.order], cut[:-1])
+        self.low_size = np.minimum.reduceat(sizes[self.order], cut[:-1])
+        self.high_size = np.maximum.reduceat(sizes[self.order], cut[:-1])
         self.up_high = np.maximum.reduceat(self.high, up)
         self.up_low = np.minimum.reduceat(self.low_size, up)
         self.up_high_size = np.maximum.reduceat(self.high_size, up)
-        self.points, self.sizes = points, sizes
 
-    def search(self, p: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points that may overlap p enough: 100 * overlap >= percent * (size + other - overlap)."""
+    def search(self, p: np.ndarray, size: int, percent: int, wanted: np.ndarray) -> np.ndarray:
+        """The wanted points that may overlap p enough, largest bound first: 100 * overlap >= percent * (size + other - overlap)."""
 
         def may(high, low, top):
             most = np.minimum(high, p).sum(axis=1)
-            return ((100 + percent) * most >= percent * (size + low)) & (100 * top >= percent * size) & (percent * low <= 100 * size)
+            return most, ((100 + percent) * most >= percent * (size + low)) & (100 * top >= percent * size) & (percent * low <= 100 * size)
 
-        parents = np.flatnonzero(may(self.up_high, self.up_low, self.up_high_size))
+        any_wanted = np.logical_or.reduceat(wanted[self.order], self.cut[:-1])
+        parents = np.flatnonzero(may(self.up_high, self.up_low, self.up_high_size)[1] & np.logical_or.reduceat(any_wanted, self.up[:-1]))
         if not len(parents):
             return parents
         leaves = np.concatenate([np.arange(self.up[x], self.up[x + 1]) for x in parents])
-        leaves = leaves[may(self.high[leaves], self.low_size[leaves], self.high_size[leaves])]
+        leaves = leaves[any_wanted[leaves]]
+        leaves = leaves[may(self.high[leaves], self.low_size[leaves], self.high_size[leaves])[1]]
         if not len(leaves):
             return leaves
         at = self.order[np.concatenate([np.arange(self.cut[x], self.cut[x + 1]) for x in leaves])]
-        return at[may(self.points[at], self.sizes[at], self.sizes[at])]
+        at = at[wanted[at]]
+        most, passed = may(self.points[at], self.sizes[at], self.sizes[at])
+        return at[passed][np.argsort(-most[passed], kind="stable")]
+
+
+def link_page(v: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The components of a page's sets after all its links (the smallest number of those joined), and how many pairs were verified.
+
+    Every set searches the tree for the sets before it that are in other components.
+    """
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    points = np.stack([point(t) for t in tokens])
+    tree = RTree(points, sizes)
+    component, verified = component.copy(), 0
+    before = np.zeros(len(v), bool)
+    for i in np.lexsort((v, sizes)):
+        for j in tree.search(points[i], sizes[i], percent, before & (component != component[i])):
+            if component[j] != component[i]:
+                verified += 1
+                if linked(tokens[i], tokens[j], percent):
+                    low, high = sorted((component[i], component[j]))
+                    component[component == high] = low
+        before[i] = True
+    return component, verified
+
+
+def _pages(percent: int):
+    """Links the pages of a call."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, page, v, component = (pdf[c].to_numpy() for c in ("label", "page", "v", "component"))
+        after = component.copy()
+        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
+        order = np.lexsort((v, page, label))
+        new = (label[order][1:] != label[order][:-1]) | (page[order][1:] != page[order][:-1])
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            if len(rows) > 1:
+                after[rows] = link_page(v[rows], [tokens[i] for i in rows], component[rows], percent)[0]
+        return pd.DataFrame({"v": v, "page": page, "was": component, "component": after})
+
+    return run
 
 
-def _page_pairs(percent: int):
-    """Surviving pairs of different components between the two sides of each page pair (or inside one page)."""
+def _key_pairs(percent: int):
+    """The pairs that the trees let pass, between the two sides of each key's blocks, and how many keys brought each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["key", "page_a", "page_b", "n", "component", "v", "page"]
-        key, page_a, page_b, sizes, comp, v, page = (pdf[c].to_numpy() for c in columns)
+        key, i, j, right, other = (pdf[c].to_numpy() for c in ("key", "i", "j", "right", "other"))
+        v, sizes, comp, least, label, q0, q1 = (pdf[c].to_numpy() for c in ("v", "n", "component", "least", "label", "q0", "q1"))
         points = np.stack(pdf["point"].to_numpy())
-        order = np.lexsort((v, page_b, page_a, key))
+        order = np.lexsort((v, right, j, i, key))
         new = np.zeros(len(order), bool)
-        for c in (key, page_a, page_b):
+        for c in (key, i, j):
             new[1:] |= c[order][1:] != c[order][:-1]
-        pairs = []
+        pairs = [np.zeros((0, 3), np.int64)]
         for rows in np.split(order, np.flatnonzero(new)):
-            if len(rows) < 2 or (comp[rows] == comp[rows[0]]).all():
+            rights, lefts = rows[right[rows]], rows[~right[rows]]
+            if not len(rights) or not len(lefts):
                 continue
-            inside = page_a[rows[0]] == page_b[rows[0]]
-            own = page[rows] == page_a[rows[0]]
-            left = rows[own]
-            right = left if inside else rows[~own]
-            if not len(left) or not len(right):
-                continue
-            tree = RTree(points[right], sizes[right])
-            for i in left:
-                found = right[tree.search(points[i], sizes[i], percent)]
-                found = found[(comp[found] != comp[i]) & ((v[found] > v[i]) | (not inside))]
-                if len(found):
-                    pairs.append(np.stack([np.minimum(v[i], v[found]), np.maximum(v[i], v[found])], axis=1))
-        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(both, columns=["a", "b"])
+            tree = RTree(points[rights], sizes[rights])
+            for x in lefts:
+                met = (label[rights] == label[x]) & ((q0[rights] == q0[x]) | ((q1[rights] == q1[x]) & (q1[x] >= 0)))
+                found = rights[tree.search(points[x], sizes[x], percent, (comp[rights] != comp[x]) & ~met & (~other[rights] | (v[rights] > v[x])))]
+                pairs.append(np.stack([np.minimum(v[x], v[found]), np.maximum(v[x], v[found]), np.minimum(least[x], least[found])], axis=1))
+        both, keys = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "least": both[:, 2], "keys": keys})
 
     return run
 
@@ -203,25 +266,24 @@ def _page_pairs(percent: int):
 class NgramJoin:
     """``docs``: doc_id, n_shingles, component_id per row; ``kept``: the first row of each component."""
 
-    def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, max_filter_bits: int = MAX_BITS):
-        self._percent = percent
+    def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, max_filter_bits: int = MAX_BITS, page: int = PAGE):
+        self._percent, self._page = percent, page
         scheme = Scheme(percent)
         counted = docs.select(text_col).mapInArrow(_all_keys(n, scheme), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
         repeated = stage(counted.where("copies > 1").select("key"), "join-keys")
         keep = key_filter(repeated, "key", repeated.count(), max_filter_bits)
+        drop(repeated)
         found = _sets(docs, n, scheme, keep, id_col, text_col, docs.columns if carry is None else carry)
         rows = stage(found.withColumn("rid", F.monotonically_increasing_id()), "join-rows")
-        first = lambda *names: [F.first(c).alias(c) for c in names]
-        classes = rows.where("keys is not null").groupBy("cid").agg(*first("n", "point", "tokens", "keys"))
-        self._classes = stage(classes.withColumn("v", F.monotonically_increasing_id()), "join-classes")
-
-        entries = self._classes.select("v", F.explode("keys").alias("key"))
-        if keep.bits is None:
-            entries = entries.join(repeated, "key", "left_semi")
-        buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        self._members = stage(entries.join(buckets, "key"), "join-members")
-        components = connected_components(self._links()).withColumnRenamed("vertex", "v")
-        named = components.join(self._classes.select("v", "cid"), "v").select("cid", "component")
+        # A class is named after its first row that carries keys.
+        self._classes = stage(rows.where("keys is not null").groupBy("cid").agg(F.min("rid").alias("v"), F.first("n").alias("n")), "join-classes")
+        self._sets = rows.where("keys is not null").select(F.col("rid").alias("v"), "n", "least", "keys", "point", "tokens")
+        classes = self._classes.select("v")
+        entries = self._sets.join(small(classes, classes.count(), 32), "v", "left_semi").select("v", "least", F.explode("keys").alias("key"))
+        buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("v").alias("head")).where("members > 1")
+        members = stage(entries.join(buckets, "key").select("key", "v", "least", "head"), "join-members")
+        named = stage(self._named(members), "join-components")
+        drop(members)
         ids = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("first_id"), F.min("rid").alias("first_rid"))
         ids = ids.join(named, "cid", "left")
         group = F.when(F.col("component").isNull(), F.col("cid")).otherwise(F.concat(F.lit("#"), F.col("component")))
@@ -240,51 +302,88 @@ class NgramJoin:
         dropped = stage(self._dropped, "join-dropped")
         return self._rows.join(small(dropped, dropped.count(), 32), "rid", "left_anti").select("doc.*")
 
+    def _named(self, members: DataFrame) -> DataFrame:
+        """cid, component (null: it links with no other class)."""
+        placed = self._clustered(members)
+        links = self._rest(members, placed)
+        component = F.coalesce("component", "v")
+        ends = placed.select("v", "component")
+        for side in ("a", "b"):
+            links = links.join(ends.select(F.col("v").alias(side), F.col("component").alias(f"of_{side}")), side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+        final = connected_components(links).select(F.col("vertex").alias("component"), F.col("component").alias("final"))
+        told = self._classes.join(ends, "v", "left").withColumn("component", component).join(final, "component", "left")
+        return told.select("cid", F.coalesce("final", "component").alias("component"))
+
+    def _clusters(self, members: DataFrame) -> DataFrame:
+        """v, label: a class and the first class of its cluster, for those that share enough keys with another."""
+        met = members.where("v <> head").groupBy("v", "head").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least")).where("shared >= least")
+        labels = met.groupBy("v").agg(F.min("head").alias("label"))
+        for _ in range(HOPS):
+            further = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
+            labels = stage(labels.join(further, "label", "left").select("v", F.coalesce("further", "label").alias("label")), "join-labels")
+        first = labels.select("label").distinct().join(labels.select(F.col("v").alias("label")), "label", "left_anti")
+        return labels.union(first.select("label", "label"))
+
+    def _clustered(self, members: DataFrame) -> DataFrame:
+        """v, label, the page of each turn (q0, q1) and component, after the pages' links."""
+        dealt = self._clusters(members).join(self._classes.select("v", "n"), "v")
+        totals = dealt.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+        pages = F.greatest(F.ceil(F.col("size") / self._page), F.ceil(F.col("tokens") / PAGE_TOKENS)).alias("pages")
+        placed = stage(dealt.join(totals, "label").select("v", "n", "label", pages, F.col("v").alias("component")), "join-clusters")
+        for turn in range(TURNS):
+            work = placed
+            if turn:
+                mixed = placed.where("pages > 1").groupBy("label").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("label")
+                work = placed.join(mixed, "label", "left_semi")
+            work = stage(work.withColumn("page", F.pmod(F.xxhash64("v", F.lit(turn)), F.col("pages"))).select("v", "n", "label", "page", "component"), "join-work")
+            rows, tokens = work.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+            if not rows:
+                placed = placed.withColumn(f"q{turn}", F.lit(-1).cast("long"))
+                continue
+            group = F.pmod(F.xxhash64("label", "page"), F.lit(max(1, -(-tokens // GROUP_TOKENS), -(-rows // GROUP_ROWS)))).alias("group")
+            sets = self._sets.select("v", "tokens").join(small(work, rows, 64), "v").select("v", "label", "page", "component", "tokens", group)
+            found = stage(sets.groupBy("group").applyInPandas(_pages(self._percent), "v long, page long, was long, component long"), "join-pages")
+            drop(work)
+            told = found.select("v", F.col("page").alias(f"q{turn}"), F.col("component").alias("now"))
+            if turn:
+                joined = connected_components(found.where("was <> component").select(F.col("was").alias("a"), F.col("component").alias("b")))
+                told = told.drop("now")
+                placed = placed.join(joined.select(F.col("vertex").alias("component"), F.col("component").alias("now")), "component", "left")
+            before = placed
+            placed = stage(placed.join(told, "v", "left").withColumn("component", F.coalesce("now", "component")).withColumn(f"q{turn}", F.coalesce(f"q{turn}", F.lit(-1).cast("long"))).drop("now"), "join-clusters")
+        return placed
+
+    def _rest(self, members: DataFrame, placed: DataFrame) -> DataFrame:
+        """Verified links (a, b) between different components of classes that share a key but no page."""
+        own = placed.select("v", "label", "q0", "q1", "component")
+        at = members.join(own, "v", "left").select("key", "v", "least", *[F.coalesce(c, d).alias(c) for c, d in (("label", F.col("v")), ("q0", F.lit(0)), ("q1", F.lit(-1)), ("component", F.col("v")))])
+        same = F.expr("min(label) = max(label) and min(q0) = max(q0)").alias("same")
+        parts = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), same).where("x <> y and not same").select("key")
+        rest = stage(at.join(parts, "key", "left_semi"), "join-rest")
+        n_rest = rest.count()
+        if not n_rest:
+            return rest.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
+        # Members of a key's largest component need not meet each other.
+        sizes = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
+        blocks = main.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / self._page).alias("lefts"), F.ceil(F.col("all") / self._page).alias("rights"))
+        points = rest.join(blocks, "key").withColumn("other", F.col("component") != F.col("main")).join(self._sets.select("v", "n", "point"), "v")
+        columns = ["key", "v", "n", "least", "label", "q0", "q1", "component", "point", "other"]
+        right = points.select(*columns, F.lit(True).alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"), F.pmod(F.xxhash64("v", F.lit(7)), F.col("rights")).alias("j"))
+        left = points.where("other").select(*columns, F.lit(False).alias("right"), F.pmod(F.xxhash64("v", F.lit(8)), F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"))
+        # Most keys have few members: a call's group holds many of them, and each has its own tree.
+        group = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-n_rest // GROUP_ROWS)))).alias("group")
+        searched = right.union(left).withColumn("group", group).groupBy("group").applyInPandas(_key_pairs(self._percent), "a long, b long, least long, keys long")
+        pairs = stage(searched.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("keys").alias("keys")).where("keys >= least").select("a", "b"), "join-pairs")
+        drop(rest)
+        return stage(self._verified(pairs), "join-links")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets are alike enough; the bound of the points spares the sets' comparison."""
+        """The pairs whose sets are alike enough."""
         p = self._percent
-        side = lambda x: self._classes.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"), F.col("tokens").alias(f"t_{x}"))
+        side = lambda x: self._sets.select(F.col("v").alias(x), F.col("tokens").alias(f"t_{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
-        total = F.col("n_a") + F.col("n_b")
-        most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-        shared = F.size(F.array_intersect("t_a", "t_b"))
-        return both.where((100 + p) * most >= p * total).where((100 + p) * shared >= p * total).select("a", "b")
-
-    def _links(self) -> DataFrame:
-        """Verified links, enough to join every component: rounds of single comparisons, then all that is left."""
-        members = self._members
-        links = members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
-        tested = links
-        labelled = members.withColumn("component", F.col("v"))
-        for turn in range(ROUNDS):
-            # Each class meets one member of another component; the choice changes with the round.
-            order = F.xxhash64("v", F.lit(turn)) if turn else F.col("v")
-            tops = labelled.withColumn("h", order).groupBy("key", "component").agg(F.min_by("v", "h").alias("v"), F.min("h").alias("h"))
-            one = tops.groupBy("key").agg(F.min_by("v", "h").alias("one"), F.min_by("component", "h").alias("one_component"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            other = labelled.join(one, "key").where("component <> one_component").groupBy("v").agg(F.min("one").alias("one"))
-            pairs = other.select(F.least("v", "one").alias("a"), F.greatest("v", "one").alias("b")).distinct()
-            pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
-            if pairs.isEmpty():
-                break
-            tested, links = tested.union(pairs), links.union(stage(self._verified(pairs), "join-links"))
-            joined = connected_components(links).withColumnRenamed("vertex", "v")
-            labelled = stage(members.join(joined, "v", "left").withColumn("component", F.coalesce("component", "v")), "join-labels")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = labelled.join(mixed, "key", "left_semi")
-        pairs = stage(self._searched(rest).distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
-        return links.union(stage(self._verified(pairs), "join-links"))
-
-    def _searched(self, rest: DataFrame) -> DataFrame:
-        """All pairs of different components in the buckets that the trees don't rule out."""
-        rest = stage(rest, "join-rest")
-        points = rest.join(self._classes.select("v", "n", "point"), "v")
-        pages = F.ceil(F.col("members") / PAGE).cast("long")
-        paged = points.withColumn("page", F.pmod(F.xxhash64("v"), pages))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), pages - 1), lambda x: F.struct(F.least(x, F.col("page")).alias("page_a"), F.greatest(x, F.col("page")).alias("page_b")))
-        dealt = paged.withColumn("pair", F.explode(pairs)).select("key", "v", "component", "n", "point", "page", "pair.page_a", "pair.page_b")
-        # Most buckets are small: a task's group holds many of them, and each has its own tree.
-        group = F.pmod(F.xxhash64("key", "page_a", "page_b"), F.lit(max(1, -(-rest.count() // GROUP_ROWS))))
-        return dealt.withColumn("group", group).groupBy("group").applyInPandas(_page_pairs(self._percent), "a long, b long")
+        return both.where((100 + p) * F.size(F.array_intersect("t_a", "t_b")) >= p * (F.size("t_a") + F.size("t_b"))).select("a", "b")
 
 
 def _digest(tokens: np.ndarray) -> str:
@@ -333,19 +432,19 @@ def _sets(docs: DataFrame, n: int, scheme: Scheme, keep: KeyFilter, id_col: str,
                     name, keys = _digest(tokens), []
                     if name not in seen:
                         seen.add(name)
-                        keys = scheme.shared(tokens, keep)
+                        least, keys = scheme.shared(tokens, keep)
                     if keys:
-                        out.append((len(tokens), name, np.concatenate(keys).view(np.int64), point(tokens), tokens.view(np.int64)))
+                        out.append((len(tokens), name, least, np.concatenate(keys).view(np.int64), point(tokens), tokens.view(np.int64)))
                     else:
-                        out.append((len(tokens), name, None, None, None))
+                        out.append((len(tokens), name, None, None, None, None))
                 if len(seen) > SEEN:
                     seen.clear()
                 columns = list(zip(*out, strict=True))
                 longs = pa.list_(pa.int64())
-                arrays = [pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string(), longs, longs, longs), strict=True)]
-                yield pa.RecordBatch.from_arrays([kept.slice(a, b - a), doc.field(id_col).slice(a, b - a), *arrays], names=["doc", "id", "n", "cid", "keys", "point", "tokens"])
+                arrays = [pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), longs, pa.list_(pa.int32()), longs), strict=True)]
+                yield pa.RecordBatch.from_arrays([kept.slice(a, b - a), doc.field(id_col).slice(a, b - a), *arrays], names=["doc", "id", "n", "cid", "least", "keys", "point", "tokens"])
 
     longs = T.ArrayType(T.LongType())
     carried = T.StructType([docs.schema[c] for c in carry])
-    schema = T.StructType([T.StructField("doc", carried), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("cid", T.StringType()), T.StructField("keys", longs), T.StructField("point", longs), T.StructField("tokens", longs)])
+    schema = T.StructType([T.StructField("doc", carried), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("cid", T.StringType()), T.StructField("least", T.LongType()), T.StructField("keys", longs), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("tokens", longs)])
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, id_col, text_col])]).alias("doc")).mapInArrow(run, schema)

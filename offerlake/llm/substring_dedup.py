@@ -7,11 +7,13 @@ which window to which an earlier document has them; documents apply the answers
 
 Three things keep the exchange small. Minimisers that one document has alone can't repeat, so a count of
 them comes first. A task sends equal strings once. And a minimiser with very many different strings (a
-passage that very many documents share, each in its own context) leaves its bucket: its windows are then
-aggregated singly, under 128-bit digests, with partial sums in each task.
+passage that very many documents share, each in its own context) is split: its windows travel one by one and
+are grouped by their words, with partial sums in each task.
 
 Defined results: a null text has no words. A null id counts as the largest. Rows with equal ids don't
-remove each other's words, and repeated rows get the same result. Windows are judged on the input.
+remove each other's words, and repeated rows get the same result. Windows are judged on the input. Ids are
+integers. An empty table gives none. A text of any length is taken whole; a long run of one repeated word is
+many strings of bounded size, equal ones sent once. Other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WINDOW, MINIMISER = 50, 10
 BUCKET_STRINGS, HOT_STRINGS = 4000, 5000
 #: Distinct strings that a task holds before it sends them.
 TASK_STRINGS = 50_000
+#: Windows of one packed string; a longer run of one minimiser (repeated words) is several strings.
+STRING_WINDOWS = 256
 _LAST = (1 << 63) - 1
 
 
@@ -71,8 +75,11 @@ class SuperKmers:
         new = np.ones(len(valid), bool)
         new[1:] = (least[valid[1:]] != least[valid[:-1]]) | (doc[valid[1:]] != doc[valid[:-1]]) | (valid[1:] != valid[:-1] + 1)
         at = np.flatnonzero(new)
-        start = valid[at]
-        self.windows = np.diff(np.append(at, len(valid)))
+        windows = np.diff(np.append(at, len(valid)))
+        parts = -(-windows // STRING_WINDOWS)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = valid[np.repeat(at, parts) + nth * STRING_WINDOWS]
+        self.windows = np.minimum(np.repeat(windows, parts) - nth * STRING_WINDOWS, STRING_WINDOWS)
         self.minimisers, self.text = least[start], doc[start]
         self.first = start - self.words.first[self.text]
         self.begin, self.end = self.words.start[start], self.words.end[start + self.windows + window - 2]
@@ -191,14 +198,14 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _single_windows(batches: Iterator) -> Iterator:
-    """The windows of hot minimisers' strings, by digest."""
+    """The windows of hot minimisers' strings, one a row."""
     import pyarrow as pa
 
     for batch in batches:
-        rows = [(sid, j, hashlib.blake2b(w, digest_size=16).digest(), lo, hi) for sid, packed, n, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) for j, w in enumerate(_windows(packed, n))]
+        rows = [(sid, j, w, lo, hi) for sid, packed, n, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) for j, w in enumerate(_windows(packed, n))]
         if rows:
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sid", "off", "digest", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sid", "off", "words", "low", "high"])
 
 
 def _answers(table: DataFrame, hot_strings: int) -> DataFrame:
@@ -213,10 +220,10 @@ def _answers(table: DataFrame, hot_strings: int) -> DataFrame:
     bucket = F.pmod(F.xxhash64("mh"), F.lit(max(1, -(-n // BUCKET_STRINGS))))
     answers = cold.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_bucket, "sid binary, off long, len long, low long")
     if n_hot:
-        single = strings.join(near, "mh", "left_semi").select("sid", "packed", "windows", "low", "high").mapInArrow(_single_windows, "sid binary, off long, digest binary, low long, high long")
+        single = strings.join(near, "mh", "left_semi").select("sid", "packed", "windows", "low", "high").mapInArrow(_single_windows, "sid binary, off long, words binary, low long, high long")
         single = stage(single, "substring-single")
-        shared = single.groupBy("digest").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
-        answers = answers.union(single.join(shared, "digest").select("sid", "off", F.lit(1).cast("long"), "least").distinct())
+        shared = single.groupBy("words").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
+        answers = answers.union(single.join(shared, "words").select("sid", "off", F.lit(1).cast("long"), "least").distinct())
     return answers
 
 
@@ -229,8 +236,6 @@ class SubstringDedup:
         repeated = stage(seen.where("low < high").select("mh"), "substring-minimisers")
         keep = key_filter(repeated, "mh", repeated.count(), max_filter_bits)
         found = keyed.select("id", "th", "text").mapInArrow(_super_kmers(keep), _ROWS)
-        if keep.bits is None:
-            found = found.join(repeated, "mh", "left_semi").select(*[c.split()[0] for c in _ROWS.split(", ")])
         table = stage(found, "substring-strings")
         answers = stage(_answers(table, hot_strings), "substring-answers")
         occurrences = table.where("packed is null").select("sid", "id", "th", "first")

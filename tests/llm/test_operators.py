@@ -113,6 +113,62 @@ def test_ngram_join(docs, rows, n, percent, bits):
     assert sorted(r.doc_id for r in found.kept.collect()) == sorted([*alone, *{root(d) for d in ids if sets[d]}])
 
 
+def near_copies(seed, n, words=200, edits=2):
+    """Copies of one text with words changed, and the smallest id that each reaches by links of 90 percent."""
+    rng = random.Random(seed)
+    base = [f"w{i}x{rng.randrange(10**6)}" for i in range(words)]
+    texts = []
+    for i in range(n):
+        copy = [*base]
+        for at in rng.sample(range(words), edits):
+            copy[at] = f"new{i}y{at}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t, 3) for t in texts]
+    reach = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if reach[i] != reach[j] and 100 * shared >= 90 * (len(sets[i]) + len(sets[j]) - shared):
+                low, high = sorted((reach[i], reach[j]))
+                reach = [low if x == high else x for x in reach]
+    return texts, reach
+
+
+@pytest.mark.parametrize("n", [200, 400])
+def test_a_group_of_near_copies_is_joined_by_few_comparisons(n):
+    texts, reach = near_copies(11, n)
+    tokens = list(ngram_join.token_sets([t.encode() for t in texts], 3))
+    ids = np.arange(n)
+    component, verified = ngram_join.link_page(ids, tokens, ids, 90)
+    assert component.tolist() == reach
+    assert verified < 8 * n
+
+
+@pytest.mark.parametrize(("page", "edits"), [(512, 2), (16, 2), (16, 3)])
+def test_ngram_join_over_pages(spark, monkeypatch, page, edits):
+    """Groups of many pages, and pairs that share keys but no page, reach the same components."""
+    texts, reach = near_copies(13, 150, edits=edits)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = ngram_join.NgramJoin(docs, n=3, percent=90, page=page).docs.collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(reach))
+
+
+def test_tree_finds_what_the_bound_allows():
+    rng = np.random.default_rng(4)
+    points = rng.poisson(3, (300, ngram_join.COORDINATES)).astype(np.int32)
+    points[100:] = points[rng.integers(0, 100, 200)] + (rng.random((200, ngram_join.COORDINATES)) < 0.1)
+    sizes = points.sum(axis=1)
+    tree = ngram_join.RTree(points, sizes)
+    wanted = rng.random(300) < 0.7
+    for i in range(300):
+        most = np.minimum(points, points[i]).sum(axis=1)
+        may = wanted & (190 * most >= 90 * (sizes + sizes[i])) & (100 * sizes >= 90 * sizes[i]) & (90 * sizes <= 100 * sizes[i])
+        found = tree.search(points[i], sizes[i], 90, wanted)
+        assert sorted(found) == np.flatnonzero(may).tolist()
+        assert (np.diff(most[found]) <= 0).all()
+
+
 @pytest.mark.parametrize("percent", [70, 80, 90])
 def test_ngram_join_links_short_texts(spark, percent):
     """Pairs of 4 to 30 shingles, one a little shorter than the other or with a word changed; pairs share no words."""
