@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -61,6 +62,16 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
+def sampled(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows with the lowest hashes of the keys. A cut-off from the count leaves little more than n rows
+    in all partitions together, so the last step merges no more, however many partitions there are."""
+    total, order = df.count(), F.xxhash64(*keys)
+    if total > n:
+        share = min(1.0, (n + 6 * math.sqrt(n) + 16) / total)
+        df = df.where(order <= F.lit(int(share * ((1 << 64) - 1)) - (1 << 63)))
+    return df.orderBy(order, *keys).limit(n)
+
+
 def normalised(text: Column) -> Column:
     """Null as empty; every run of ASCII space characters as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
@@ -139,16 +150,21 @@ class Words:
         return mix(total), self.doc[:count] == self.doc[n - 1 :]
 
 
+def batches_of_sizes(sizes, limit: int):
+    """Ranges of items whose sizes add up to about the limit."""
+    start = total = i = 0
+    for i, size in enumerate(sizes, 1):
+        total += size
+        if total >= limit:
+            yield start, i
+            start, total = i, 0
+    if start < i:
+        yield start, i
+
+
 def batches_of_texts(texts: list[bytes], limit: int = 1 << 20):
     """Ranges of texts of about so many bytes, so that the arrays stay in the cache."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    yield from batches_of_sizes(map(len, texts), limit)
 
 
 def text_bytes(column) -> list[bytes]:

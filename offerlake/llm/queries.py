@@ -12,7 +12,7 @@ from .line_dedup import LineDedup
 from .mixing import Mix
 from .ngram_join import NgramJoin
 from .packing import pack
-from .quality import QualityRules
+from .quality import RULES, QualityRules
 from .secrets import find_secrets, report
 from .substring_dedup import SubstringDedup
 from .toxicity import Toxicity
@@ -20,7 +20,7 @@ from .warc import archive_pages
 
 
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages")).drop("payload")
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = QualityRules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
-    return found.judged.select("doc.doc_id", "rules.*", "kept")
+    rules = [c for c in RULES.names if c != "score"]
+    return found.judged.select("doc.doc_id", *[f"rules.{c}" for c in rules], "kept", "rules.score")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

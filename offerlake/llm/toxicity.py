@@ -1,16 +1,19 @@
 """Toxicity of restored text: a noisy channel undoes obfuscation, a linear model scores the words.
 
-A written word is a lattice: each character may stand for itself or for letters it imitates, separators
-inside a word may be nothing, and a run of a letter may be fewer of them. Viterbi decoding finds the
-likeliest word under the channel and a character trigram model, which is counted over every document.
-Words written letter by letter are joined first. Only words that look obfuscated are decoded.
+Written text is a lattice: each character may stand for itself or for letters it imitates, separators
+inside a word and punctuation at its edges may be nothing, a space may be nothing, and a run of a letter
+may be fewer of them. Viterbi decoding finds the likeliest text under the channel and a character trigram
+model, which is counted over every document.
 
 The restored words' presence is scored by logistic regression, trained on a bounded sample of labelled
 rows (TRAIN_ROWS, those with the lowest hashes) outside the held-out fold; its features are the words most
-associated with the label there.
+associated with the label there. To score a document, only those lattices are decoded that have a path to a
+feature: a skeleton (look-alikes as one letter, runs as one, separators out) is the same for all paths of a
+lattice, so a look-up of skeletons finds them, over word bounds too, and skips nothing that could count.
 
 Defined results: null and empty texts have no words and score the model's prior. Repeated rows score alike.
-Without labelled rows of both kinds every score is the share of toxic labels, or 0.
+Without labelled rows of both kinds every score is the share of toxic labels, or 0. An empty table gives no
+rows. Texts of any length are scored whole. Of the other columns only the id is read, so none can clash.
 """
 
 from __future__ import annotations
@@ -24,21 +27,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of_texts, stage, text_bytes
+from .common import batches_of_sizes, batches_of_texts, sampled, stage, text_bytes
 
 TRAIN_ROWS, FEATURES, MIN_DOCS = 20_000, 400, 5
 CACHE_WORDS = 300_000
+#: Look-alikes of features that are words themselves; so few words share a skeleton that this is never met.
+KNOWN_WORDS = 10_000
 
 #: What a character may imitate.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~'`^,:;#"
-#: Log probabilities of the channel.
-IMITATED, DROPPED, REPEATED, ODD = -0.7, -0.2, -0.3, -8.0
-
-_EDGE = re.compile(r"^[^\w@$€£]+|[^\w@$!€£]+$")
+#: Log probabilities of the channel: of a look-alike, of a separator, of punctuation at an edge, of a repeated letter, of a space that is none.
+IMITATED, DROPPED, EDGE, REPEATED, JOINED, ODD = -0.7, -0.2, -0.1, -0.3, -1.0, -8.0
+#: Single characters in a row that may be a word spelt out.
+SPELT = 3
+#: Bytes of text, about, that are scored at once.
+TEXT_BYTES = 8 << 20
+
+_EDGES = re.compile(r"^[^\w]*|[^\w]*$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _LETTERED = re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"(.)\1+")
 
 # --- character model: a-z, one class for other letters, one for the edge of a word ------------------
 _CLASSES = 28
@@ -55,7 +65,8 @@ def _count_trigrams(batches: Iterator) -> Iterator:
     for batch in batches:
         texts = text_bytes(batch.column(0))
         for a, b in batches_of_texts(texts):
-            c = _CLASS[np.frombuffer(b"  " + b"  ".join(texts[a:b]) + b"  ", np.uint8)]
+            data = np.frombuffer(b"  " + b"  ".join(texts[a:b]) + b"  ", np.uint8)
+            c = _CLASS[data[(data & 0xC0) != 0x80]]  # a character is one, of however many bytes
             total += np.bincount((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], minlength=_CLASSES**3)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
@@ -72,38 +83,50 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of single words."""
+    """Viterbi decoding of written text, word by word or over spaces that may be none."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
     @staticmethod
     def _class(ch: str) -> int:
-        return ord(ch) - 96 if "a" <= ch <= "z" else (27 if ch.isalpha() else 0)
+        return ord(ch) - 96 if "a" <= ch <= "z" else (27 if ch > "\x7f" else 0)
 
-    def decode(self, word: str) -> str:
-        """The likeliest plain word. State: the last two letters, and whether the last one may repeat."""
+    @staticmethod
+    def lattice(written: str) -> list[list[tuple[str, float]]]:
+        """What each character may stand for ("" is nothing), with the channel's log probability."""
+        out = []
+        for word in written.lower().split(" "):
+            if out:
+                out.append([(" ", 0.0), ("", JOINED)])
+            bare = _EDGES.sub("", word)
+            first = word.find(bare) if bare else len(word)
+            for i, ch in enumerate(word):
+                options = [(ch, 0.0)] if ch.isalpha() else []
+                options += [(x, IMITATED) for x in LOOKALIKES.get(ch, "")]
+                if not first <= i < first + len(bare):
+                    options.append(("", EDGE))
+                elif ch in SEPARATORS:
+                    options.append(("", DROPPED))
+                out.append(options or [(ch, ODD)])
+        return out
+
+    def decode(self, written: str) -> str:
+        """The likeliest plain text. State: the last two letters; of equal scores the later text in order."""
         model, cls = self.model, self._class
         states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-        for ch in word.lower():
-            options = []
-            if ch.isalpha():
-                options.append((ch, 0.0))
-            options += [(x, IMITATED) for x in LOOKALIKES.get(ch, "")]
-            if not options and ch not in SEPARATORS:
-                options.append((ch, ODD))
+        for options in self.lattice(written):
             nxt: dict[tuple[str, str], tuple[float, str]] = {}
             for (p, q), (score, path) in states.items():
-                if ch in SEPARATORS or not options:
-                    self._keep(nxt, (p, q), score + DROPPED, path)
                 for x, cost in options:
-                    step = score + cost + model[cls(p) if p else 0][cls(q) if q else 0][cls(x)]
-                    self._keep(nxt, (q, x), step, path + x)
+                    if not x:
+                        self._keep(nxt, (p, q), score + cost, path)
+                        continue
+                    self._keep(nxt, (q, x), score + cost + model[cls(p) if p else 0][cls(q) if q else 0][cls(x)], path + x)
                     if x == q:
                         self._keep(nxt, (p, q), score + cost + REPEATED, path)
             states = nxt
-        best = max(((s + model[cls(p) if p else 0][cls(q) if q else 0][0], path) for (p, q), (s, path) in states.items()), default=(0.0, word))
-        return best[1]
+        return max((s + model[cls(p) if p else 0][cls(q) if q else 0][0], path) for (p, q), (s, path) in states.items())[1]
 
     @staticmethod
     def _keep(states: dict, key: tuple[str, str], score: float, path: str) -> None:
@@ -118,7 +141,7 @@ def looks_obfuscated(word: str) -> bool:
 
 
 class Restorer(dict):
-    """Written word to restored word, remembered."""
+    """Written word to restored word, remembered; of the labelled sample, every word that looks obfuscated."""
 
     def __init__(self, model: np.ndarray):
         super().__init__()
@@ -127,20 +150,108 @@ class Restorer(dict):
     def __missing__(self, word: str) -> str:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        bare = _EDGE.sub("", word).lower()
-        found = self[word] = self.decoder.decode(bare) if looks_obfuscated(bare) else bare
+        bare = _EDGES.sub("", word).lower()
+        found = self[word] = self.decoder.decode(word) if looks_obfuscated(bare) else bare
         return found
 
     def words(self, text: str) -> list[str]:
-        """The restored words; a run of four or more single characters is one word as well."""
+        """The restored words; single characters in a row are decoded together as well."""
         written = text.split()
         out = [self[w] for w in written]
         single = np.fromiter(map(len, written), np.int64, len(written)) == 1
         if single.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
-            out += [self["".join(written[a:b])] for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= 4]
+            for a, b in zip(edge[::2], edge[1::2], strict=True):
+                if b - a >= SPELT:
+                    out += self.decoder.decode(" ".join(written[a:b])).split(" ")
+        return out
+
+
+#: One letter for all that may be mistaken for each other.
+_SAME = str.maketrans({ch: ("i" if "l" in x or "i" in x else x[0]) for ch, x in LOOKALIKES.items()} | {"l": "i"})
+_NOTHING = str.maketrans("", "", SEPARATORS)
+
+
+def skeleton(letters: str) -> str:
+    """The same for all readings of some characters: look-alikes as one letter, runs as one, no separators."""
+    return _RUN.sub(r"\1", letters.translate(_NOTHING).translate(_SAME))
+
+
+class Scorer:
+    """Finds the features in texts, given as Arrow arrays."""
+
+    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str]):
+        self.decoder, self.features, self.known = Decoder(model), features, known
+        self.whole = {skeleton(w) for w in features}
+        self.starts = {x[:n] for x in self.whole for n in range(1, len(x) + 1)}
+        self.seen: dict[str, tuple[int, set[str], bool]] = {}
+
+    def _feature(self, written: str) -> int:
+        """The feature that the lattice decodes to, or -1."""
+        return self.features.get(self.decoder.decode(written).strip(), -1)
+
+    def _word(self, word: str) -> tuple[int, set[str], bool]:
+        """The feature that a word is, its skeletons (with and without the punctuation at its edges), and whether a feature may start with one and go on."""
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= CACHE_WORDS:
+                self.seen.clear()
+            low = word.lower()
+            bare = _EDGES.sub("", low)
+            at = low.find(bare) if bare else len(low)
+            edges = [{"".join(ch for ch in e if ch in LOOKALIKES), ""} for e in (low[:at], low[at + len(bare) :])]
+            bodies = {skeleton(x + bare + y) for x in edges[0] for y in edges[1]}
+            feature = self.features.get(bare, -1)
+            if feature < 0 and bare not in self.known and not bodies.isdisjoint(self.whole):
+                feature = self._feature(word)
+            found = self.seen[word] = (feature, bodies, not bodies.isdisjoint(self.starts))
+        return found
+
+    def _joined(self, words: list[str], i: int) -> list[int]:
+        """Features that start at word i and go on over spaces."""
+        out, bodies = [], self._word(words[i])[1]
+        for j in range(i + 1, len(words)):
+            bodies = {skeleton(x + y) for x in bodies for y in self._word(words[j])[1]} & self.starts
+            if not bodies:
+                break
+            if not bodies.isdisjoint(self.whole):
+                feature = self._feature(" ".join(words[i : j + 1]))
+                if feature >= 0:
+                    out.append(feature)
         return out
 
+    def find(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct features of each text, as pairs of text and feature, in order."""
+        import pyarrow.compute as pc
+
+        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        first = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        told = [self._word(w) for w in words]
+        code = coded.indices.to_numpy()
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        feature = np.fromiter((t[0] for t in told), np.int64, len(told))[code]
+        hit = np.flatnonzero(feature >= 0)
+        pairs = [owner[hit] * len(self.features) + feature[hit]]
+        starts = np.fromiter((t[2] for t in told), bool, len(told))[code]
+        same = np.zeros(len(code), bool)  # of a run of one fragment, the first starts
+        same[1:] = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
+        begins = np.flatnonzero(starts & ~same)
+        # Most fragments are whole words: what follows must go on with a feature.
+        for text, own in zip(*_runs(owner[begins], begins), strict=True):
+            written = [words[c] for c in code[first[text] : first[text + 1]]]
+            for i in own - first[text]:
+                pairs.append(np.array(self._joined(written, int(i)), np.int64) + text * len(self.features))
+        both = np.unique(np.concatenate(pairs)).astype(np.int64)
+        return both // max(1, len(self.features)), both % max(1, len(self.features))
+
+
+def _runs(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The owners, in order, and the values of each."""
+    owners, at = np.unique(owner, return_index=True)
+    return owners, np.split(values, at[1:]) if len(owners) else []
+
 
 def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 5
@@ -185,7 +296,7 @@ class Toxicity:
         self.model = character_model(docs, text_col)
         model = spark.sparkContext.broadcast(self.model)
         known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
-        chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+        chosen = sampled(known.groupBy("doc_id").agg(F.max("toxic").alias("label")), TRAIN_ROWS, "doc_id")
         sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
         train = stage(sample.mapInArrow(_restored(model), "label int, words array<string>"), "toxic-train")
         totals = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
@@ -200,22 +311,31 @@ class Toxicity:
             names = F.array(*[F.lit(w) for w in self.vocabulary]) if top else F.array().cast("array<string>")
             rows = [(r.label, [self.vocabulary[w] for w in r.words]) for r in train.select("label", F.array_intersect("words", names).alias("words")).collect()]  # TRAIN_ROWS at most
             self.weights, self.bias = fit(rows, len(self.vocabulary))
+        #: Words of the sample that have a feature's skeleton and are none.
+        self.known: set[str] = set()
+        if self.vocabulary:
+            same = F.regexp_replace(F.translate("word", "l", "i"), r"(.)\1+", "$1")
+            plain = counts.where(F.col("word").rlike(r"^\p{L}+$") & same.isin(*{skeleton(w) for w in self.vocabulary})).select("word").limit(KNOWN_WORDS)
+            self.known = {r.word for r in plain.collect()} - self.vocabulary.keys()
         self.scored = self._score(docs, model, id_col, text_col)
 
     def _score(self, docs: DataFrame, model, id_col: str, text_col: str) -> DataFrame:
-        by_word = {w: float(self.weights[i]) for w, i in self.vocabulary.items()}
-        bias = self.bias
+        features, known, weights, bias = self.vocabulary, self.known, self.weights, self.bias
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
+            import pyarrow.compute as pc
 
-            restorer = Restorer(model.value)
+            scorer = Scorer(model.value, features, known)
             for batch in batches:
-                scores = []
-                for t in batch.column(1).to_pylist():
-                    found = by_word.keys() & set(restorer.words(t or ""))
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(by_word[w] for w in sorted(found)))))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+                total = np.full(batch.num_rows, bias)
+                if features:
+                    sizes = pc.coalesce(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+                    for low, high in batches_of_sizes(sizes, TEXT_BYTES):
+                        text, feature = scorer.find(batch.column(1)[low:high])
+                        np.add.at(total, low + text, weights[feature])
+                scores = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
         schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
         scored = docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -7,7 +7,8 @@ to and reads from any store, and save_files() puts them into a folder that the e
 
 Payloads that were archived before are revisit records. Defined results: a null page is an empty payload; a
 null page_id is never the one that others refer to unless all are null; rows that repeat the largest id are
-each a response. An empty table gives no archives.
+each a response. An empty table gives no archives. Payloads of any length are one record. Only page_id, url
+and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import sampled, stage
 
 #: Of the .warc.zst format: the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -121,7 +122,8 @@ def with_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
 
 def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """pages: page_id, url, html. Returns archive_id, n_records, archive (the bytes of a .warc.zst file)."""
-    sample = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE_ROWS).collect()
+    chosen = sampled(pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")), SAMPLE_ROWS, "page_id", "url")
+    sample = sorted(chosen.collect(), key=lambda r: (str(r.page_id), r.url or "", r.html))
     dictionary = train([make_record(r.page_id, r.url, r.html.encode(), None, False, date) for r in sample])
 
     def run(batches: Iterator) -> Iterator:
