@@ -135,3 +135,8 @@ def display_name(c: Column) -> Column:
 def joined_label(*parts: Column) -> Column:
     """The parts that are not blank, with a middle dot between."""
     return F.concat_ws(" · ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
+
+
+def email_key(c: Column) -> Column:
+    """What tells accounts apart: the address without spaces around it, in lower case."""
+    return F.lower(F.trim(c))

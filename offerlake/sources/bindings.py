@@ -53,6 +53,44 @@ def _cents(x: str) -> str:
     return f"CAST(CAST(floor(({x}) * 100 + 0.5) AS bigint) / 100.0 AS decimal(10, 2))"
 
 
+def _dotted(x: str) -> str:
+    """A whole number with a dot before the last three digits."""
+    n = f"CAST(floor({x}) AS bigint)"
+    return f"CASE WHEN {x} >= 1000 THEN CAST(CAST(floor({n} / 1000) AS bigint) AS string) || '.' || lpad(CAST({n} % 1000 AS string), 3, '0') ELSE CAST({n} AS string) END"
+
+
+def _money(x: str) -> str:
+    cents = f"lpad(CAST(CAST(floor({x} * 100) AS bigint) % 100 AS string), 2, '0')"
+    return f"""'<span class="andes-money-amount__fraction">' || {_dotted(x)} || '</span><span class="andes-money-amount__cents">' || {cents} || '</span></span>'"""
+
+
+def _part(when: str, text: str) -> str:
+    return f"CASE WHEN {when} THEN {text} ELSE '' END"
+
+
+_CARD = " || ".join([
+    """'<div class="ui poly-card"><a class="poly-component__link" href="' || url || '#top">'""",
+    _part("image IS NOT NULL", """'<img class="poly-component__picture lazy" src="' || image || '">'"""),
+    """'</a><h3 class="poly-component__title"> ' || title || ' </h3>'""",
+    _part("brand IS NOT NULL", """'<span class="poly-component__brand">' || brand || '</span>'"""),
+    _part("promotion = 'lightning'", """'<b class="poly-component__highlight">OFERTA</b><i class="poly-highlight-countdown__text">10:00</i>'"""),
+    _part("promotion = 'deal_of_day'", """'<b class="poly-component__highlight">Oferta do dia</b>'"""),
+    _part("average_rating IS NOT NULL", """'<span class="poly-reviews__rating">' || replace(CAST(average_rating AS string), '.', ',') || '</span>'"""),
+    f"""'<span class="poly-reviews__total">(' || {_dotted('total_reviews')} || ')</span>'""",
+    _part("original_price IS NOT NULL", f"""'<s class="andes-money-amount andes-money-amount--previous">' || {_money('original_price')} || '</s>'"""),
+    _part("current_price IS NOT NULL", f"""'<div class="poly-price__current"><span>' || {_money('current_price')} || '</div>'"""),
+    _part("discount_percent IS NOT NULL", """'<span class="poly-price__disc_label">' || CAST(discount_percent AS string) || '% OFF</span>'"""),
+    _part("free_shipping", """'<span class="polylabel">Frete <b>grátis</b></span>'"""),
+    "'</div>'",
+])
+_CARD_VALUES = """
+            SELECT s.source_id, s.page_no, CAST(p.id % 20 AS int) AS slot, p.id AS product_id, p.main_name AS title,
+                   CASE WHEN p.id % 10 <> 9 THEN 'https://shop.example.test/MLB-' || CAST(p.id AS string) || '-x?y=1' ELSE 'https://shop.example.test/x?y=' || CAST(p.id % 3 AS string) END AS url,
+                   CASE WHEN p.id % 10 <> 9 THEN 'MLB' || CAST(p.id AS string) END AS external_id, p.main_image_url AS image, p.brand_slug AS brand, p.average_rating, p.total_reviews,
+                   CASE p.id % 3 WHEN 0 THEN 'lightning' WHEN 1 THEN 'deal_of_day' ELSE 'general' END AS promotion, b.current_price, b.original_price, b.discount_percent, b.free_shipping
+            FROM {v_page_slots} s JOIN {v_products} p ON CAST(floor(p.id / 200) AS bigint) = s.source_id AND CAST(floor((p.id % 200) / 20) AS int) + 1 = s.shown_page
+            LEFT JOIN {v_best} b ON b.product_id = p.id WHERE s.kind = 'cards'"""
+
 VIEWS: dict[str, str] = {
     "v_products": f"""
         SELECT p_partkey AS id, {_pick(TITLES, 'p_partkey')} || ' ' || p_name AS main_name,
@@ -135,12 +173,40 @@ VIEWS: dict[str, str] = {
         SELECT CAST(floor(p.id / 3) AS bigint) AS cohort_id, p.id AS product_id, p.main_name, p.average_rating, p.total_reviews,
                b.current_price, b.original_price, b.discount_percent, b.free_shipping
         FROM {v_products} p LEFT JOIN {v_best} b ON b.product_id = p.id""",
+    # Listing pages: slots of twenty products; some pages repeat the one before, some have no cards, some no next link.
+    "v_page_slots": """
+        SELECT source_id, page_no, CASE WHEN (source_id + page_no) % 9 = 8 AND page_no > 1 THEN page_no - 1 ELSE page_no END AS shown_page,
+               CASE WHEN (source_id * 3 + page_no) % 13 = 12 THEN 'empty' WHEN (source_id * 3 + page_no) % 13 = 11 THEN 'odd' ELSE 'cards' END AS kind,
+               (source_id + page_no * 3) % 17 <> 0 AND page_no < 10 AS has_next
+        FROM (SELECT DISTINCT CAST(floor(id / 200) AS bigint) AS source_id, CAST(floor((id % 200) / 20) AS int) + 1 AS page_no FROM {v_products}) q""",
+    # A product in slot 5 stands on its page twice.
+    "v_cards": f"""
+        SELECT c.*, CAST(row_number() OVER (PARTITION BY source_id, page_no ORDER BY again, slot) - 1 AS int) AS position
+        FROM (SELECT x.*, 0 AS again FROM ({_CARD_VALUES}) x UNION ALL SELECT y.*, 1 AS again FROM ({_CARD_VALUES}) y WHERE slot = 5) c""",
+    "v_listing_pages": f"""
+        SELECT s.source_id, s.page_no,
+               '<html><main>' || CASE s.kind WHEN 'empty' THEN '<p>Não encontramos produtos aqui</p>' WHEN 'odd' THEN '<p>outra coisa</p>' ELSE coalesce(k.cards, '') END
+               || CASE WHEN s.has_next THEN '<nav class="andes-pagination"><a class="andes-pagination__link" href="/list?page=' || CAST(s.page_no + 1 AS string) || '">Seguinte</a></nav>' ELSE '<nav class="andes-pagination"></nav>' END
+               || CASE WHEN (s.source_id + s.page_no) % 11 <> 3 THEN '<!--' || repeat('x', 5000) || '-->' ELSE '' END || '</main></html>' AS html
+        FROM {{v_page_slots}} s LEFT JOIN (SELECT source_id, page_no, @joined(card, position) AS cards FROM (SELECT source_id, page_no, position, {_CARD} AS card FROM {{v_cards}}) r GROUP BY source_id, page_no) k
+          ON k.source_id = s.source_id AND k.page_no = s.page_no""",
+    # One collection run: offers seen again, half of them at a price that is new.
+    "v_items": f"""
+        SELECT CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST(l_suppkey AS string) AS item_id, l_suppkey AS source_id,
+               CASE WHEN l_linenumber <> 7 THEN 'MLB' || CAST(l_partkey AS string) END AS external_id, l_partkey AS product_id, p.main_name AS title, p.brand_slug AS brand, p.main_image_url AS image,
+               CAST(l_partkey AS string) || '-' || CAST(CAST(l_quantity AS int) + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 50 END AS string) AS content_hash,
+               {_cents('l_extendedprice / l_quantity * (1 - l_discount)')} AS price, {_cents('l_extendedprice / l_quantity')} AS original_price,
+               CASE WHEN l_discount <> 0 THEN CAST(floor(l_discount * 1000 + 0.5) AS int) END AS discount, l_returnflag = 'N' AS free_shipping,
+               CASE WHEN l_linenumber % 3 = 0 THEN 'lightning' ELSE 'general' END AS promotion_type, 'https://shop.example.test/p/' || CAST(l_partkey AS string) AS url, l_orderkey AS position
+        FROM {{lineitem}} JOIN {{v_products}} p ON p.id = l_partkey WHERE l_linestatus = 'O'""",
+    "v_members": """
+        SELECT id, source_id, external_item_id, content_hash, raw_title, is_active, CASE WHEN source_id % 6 <> 0 THEN 'b1' END AS last_batch, CAST(length(content_hash) % 2 AS int) AS missed FROM {v_memberships}""",
     "v_colors": f"SELECT p_partkey AS product_id, {_pick(COLORS, 'p_partkey')} AS name, {_pick(COLORS, '(p_partkey + 2)')} AS variation_name FROM {{part}}",
 }
 
 _MACROS = {
-    "spark": {"minutes": lambda x: f"make_interval(0, 0, 0, 0, 0, CAST({x} AS int), 0)", "json_int": lambda c, k: f"CAST(get_json_object({c}, '$.{k}') AS bigint)"},
-    "duckdb": {"minutes": lambda x: f"to_minutes(CAST({x} AS int))", "json_int": lambda c, k: f"CAST(json_extract_string({c}, '$.{k}') AS bigint)"},
+    "spark": {"joined": lambda x, order: f"array_join(transform(array_sort(collect_list(struct({order}, {x}))), z -> z.{x}), '')", "minutes": lambda x: f"make_interval(0, 0, 0, 0, 0, CAST({x} AS int), 0)", "json_int": lambda c, k: f"CAST(get_json_object({c}, '$.{k}') AS bigint)"},
+    "duckdb": {"joined": lambda x, order: f"string_agg({x}, '' ORDER BY {order})", "minutes": lambda x: f"to_minutes(CAST({x} AS int))", "json_int": lambda c, k: f"CAST(json_extract_string({c}, '$.{k}') AS bigint)"},
 }
 
 
