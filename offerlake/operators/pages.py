@@ -18,6 +18,14 @@ FREE_SHIPPING = ("frete gratis", "envio gratis", "chegara gratis")
 BLOCKED = ("access denied", "pardon our interruption", "account-verification")
 EMPTY = ("nao encontramos produtos", "nao ha produtos", "nenhum produto encontrado")
 NEXT_LINK = r"""(?s)<a\b(?=[^>]*(?:andes-pagination__link|aria-label="[^"]*página|aria-label="Seguinte"|aria-label="Próximo"))(?=[^>]*href="[^"]*(?i:page=\d))"""
+# The kinds of cards that brand stores have had, in the order in which they are tried.
+STORE_CARDS = (
+    r'(?=<div[^>]*class="(?:[^"]* )?poly-card--grid-card[ "])', r"""(?=<a[^>]*data-component-type=["']product-card["'])""", r"(?=<article(?=[ >])(?![^>]*ui-search-result))",
+    r'(?=<article[^>]*class="(?:[^"]* )?ui-search-result[ "])', r'(?=<li[^>]*class="(?:[^"]* )?ui-search-layout__item[ "])', r'(?=<div[^>]*class="(?:[^"]* )?item[ "])',
+    r'(?=<div[^>]*class="(?:[^"]* )?s-result-item[ "])', r'(?=<div[^>]*class="[^"]*product-card)',
+)
+STATE = "struct<searchState:struct<itemsResponse:struct<results:array<struct<id:string,title:string,url:string,prices:struct<id:bigint,prices:struct<currentPrice:string,originalPrice:string,discountPercent:int>>,freeShipping:boolean>>>>>"
+MIN_TITLE = 5
 MIN_LENGTH, MIN_DISCOUNT, MAX_PAGES, SIGNATURE = 5000, 25, 25, 5
 
 
@@ -27,10 +35,15 @@ def _inside(card: Column, name: str, within: str = "") -> Column:
     return F.trim(F.regexp_extract(card, rf'(?s){lead}class="(?:[^"]* )?{name}(?: [^"]*)?"[^>]*>([^<]*)<', 1))
 
 
+def _split(html: Column, marker: str) -> Column:
+    """The parts of a text that start with a marker."""
+    return F.slice(F.split(F.concat(F.lit(" "), html), marker), 2, 1 << 20)
+
+
 def raw_cards(pages: DataFrame) -> DataFrame:
     """source_id, page_no, position and the texts of each card's parts."""
     body = F.regexp_extract(F.col("html"), r'(?s)^(.*?)(?:<nav class="andes-pagination|$(?!.))', 1)
-    cards = pages.select("source_id", "page_no", F.posexplode(F.slice(F.split(body, CARD), 2, 1 << 20)).alias("position", "card"))
+    cards = pages.select("source_id", "page_no", F.posexplode(_split(body, CARD)).alias("position", "card"))
     card = F.col("card")
     return cards.select(
         "source_id", "page_no", "position",
@@ -103,7 +116,7 @@ def audited(pages: DataFrame) -> DataFrame:
     empty = F.lit(False)
     for phrase in EMPTY:
         empty |= F.contains(plain, F.lit(phrase))
-    told = pages.select("source_id", "page_no", F.coalesce(blocked, F.lit(True)).alias("blocked"), empty.alias("empty_state"), html.rlike(NEXT_LINK).alias("has_next"), (F.size(F.split(html, CARD)) - 1).alias("raw_cards"))
+    told = pages.select("source_id", "page_no", F.coalesce(blocked, F.lit(True)).alias("blocked"), empty.alias("empty_state"), html.rlike(NEXT_LINK).alias("has_next"), F.size(_split(html, CARD)).alias("raw_cards"))
     parsed = parsed_cards(pages).groupBy("source_id", "page_no").agg(F.count(F.lit(1)).cast("int").alias("parsed_cards"))
     joined = told.join(parsed, ["source_id", "page_no"], "left").withColumn("parsed_cards", F.coalesce("parsed_cards", F.lit(0)))
     return joined.withColumn("error", F.when((F.col("raw_cards") == 0) & ~F.col("empty_state"), "unrecognised_markup"))
@@ -129,3 +142,31 @@ def page_url(url: Column, page: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(base, r"([?&])page=[^&]*(?:&|$)", "$1"), "[?&]$", "")
     more = F.concat(F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.lit("page="), page.cast("string"))
     return F.concat(bare, F.when(page <= 1, "").otherwise(more), mark)
+
+
+def store_items(pages: DataFrame) -> DataFrame:
+    """Items of brand stores: those of the embedded state, or else of the first kind of card that gives any. ``tried`` is 0 for the state."""
+    state = F.from_json(F.regexp_extract("html", r"(?s)window\.__PRELOADED_STATE__\s*=\s*(\{.*?\});", 1), STATE)
+    records = pages.select("source_id", "page_no", F.posexplode(state.searchState.itemsResponse.results).alias("position", "x"))
+    now = F.col("x.prices.prices.currentPrice").try_cast("double")
+    informed = records.where("x.title <> '' and x.id is not null and coalesce(x.prices.id, 0) >= 0").select(
+        "source_id", "page_no", F.lit(0).alias("tried"), "position", "x.title", F.coalesce("x.url", F.lit("")).alias("url"), F.col("x.id").alias("external_id"), now.alias("price"),
+        F.coalesce(F.col("x.prices.prices.originalPrice").try_cast("double"), now).alias("original_price"), F.nullif("x.prices.prices.discountPercent", F.lit(0)).alias("discount"), F.coalesce("x.freeShipping", F.lit(False)).alias("free_shipping"),
+    ).where("price > 0")
+    kinds = F.array(*[_split(F.col("html"), marker) for marker in STORE_CARDS])
+    cards = pages.select("source_id", "page_no", F.posexplode(kinds).alias("kind", "cards")).select("source_id", "page_no", (F.col("kind") + 1).alias("tried"), F.posexplode("cards").alias("position", "card"))
+    card = F.col("card")
+    title = F.trim(F.coalesce(*[F.nullif(_inside(card, c), F.lit("")) for c in ("poly-component__title", "ui-search-result__title")], F.regexp_extract(card, "(?s)<h2[^>]*>([^<]*)<", 1)))
+    whole = lambda *places: F.coalesce(*[F.nullif(_inside(card, *p), F.lit("")) for p in places])
+    price = X.price_of_parts(whole(("andes-money-amount__fraction", "poly-price__current"), ("price-tag", "ui-search-price__second-line"), ("price-tag-fraction",)), F.lit(""))
+    old = X.price_of_parts(whole(("andes-money-amount__fraction", "andes-money-amount--previous"), ("price-tag-fraction", "ui-search-price__third-line")), F.lit(""))
+    url = F.substring_index(F.regexp_extract(card, r'(?s)<a\b[^>]*?href="([^"]*)"', 1), "#", 1)
+    read = cards.select("source_id", "page_no", "tried", "position", title.alias("title"), url.alias("url"), X.item_id(url).alias("external_id"), price.alias("price"), old.alias("original_price"), X.percent_in(_inside(card, "poly-price__disc_label")).alias("informed"), free_shipping(_inside(card, "poly-component__shipping"), F.regexp_replace(card, "<[^>]*>", "")).alias("free_shipping"))
+    was, now = F.col("original_price"), F.col("price")
+    discount = F.coalesce(F.nullif("informed", F.lit(0)), F.when(was > now, F.floor((was - now) / was * 100 + 0.5).cast("int")))
+    read = read.where((F.length("title") >= MIN_TITLE) & (F.col("url") != "") & (now > 0)).withColumn("discount", discount).drop("informed")
+    both = informed.unionByName(read).withColumn("content_hash", X.content_hash32(F.col("title"), F.col("price")))
+    key = F.when(F.col("tried") == 0, F.col("content_hash")).otherwise(F.coalesce("external_id", "content_hash"))
+    at = Window.partitionBy("source_id", "page_no")  # a page has few cards
+    first = both.withColumn("_first", F.min("tried").over(at)).where("tried = _first").drop("_first")
+    return first.withColumn("_nth", F.row_number().over(Window.partitionBy("source_id", "page_no", key).orderBy("position"))).where("_nth = 1").drop("_nth")

@@ -34,6 +34,18 @@ def parse_offer_grid(v):
     return P.parsed_cards(v.v_listing_pages, least_discount=None, derive=False)
 
 
+@query("parse_brand_store", f"""
+    WITH c AS (SELECT *, page_no % 3 AS kind, CASE WHEN page_no % 3 = 0 THEN current_price::DOUBLE ELSE floor(current_price)::DOUBLE END AS price, CASE WHEN page_no % 3 = 0 THEN coalesce(original_price, current_price)::DOUBLE ELSE floor(original_price)::DOUBLE END AS old
+               FROM v_cards WHERE current_price > 0 AND length(title) >= 5 AND (page_no % 3 <> 0 OR external_id IS NOT NULL)),
+    h AS (SELECT * REPLACE (CAST(price AS DECIMAL(18, 2)) AS current_price) FROM c), g AS (SELECT *, {_SUM} AS h FROM h), k AS (SELECT *, {_HASH} AS content_hash FROM g WHERE price > 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY source_id, page_no, CASE WHEN kind = 0 THEN content_hash ELSE coalesce(external_id, content_hash) END ORDER BY position) AS nth FROM k)
+    SELECT source_id, page_no, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 5 END AS tried, position, title, url, external_id, price, old AS original_price,
+           CASE WHEN kind = 0 THEN nullif(discount_percent, 0) ELSE coalesce(nullif(discount_percent, 0), CASE WHEN old > price THEN CAST(floor((old - price) / old * 100 + 0.5) AS INT) END) END AS discount, coalesce(free_shipping, false) AS free_shipping, content_hash
+    FROM n WHERE nth = 1""")
+def parse_brand_store(v):
+    return P.store_items(v.v_store_pages)
+
+
 _AUDIT = f"""{_PARSED},
     r AS (SELECT source_id, page_no, count(*)::INT AS raw_cards FROM v_cards GROUP BY ALL), q AS (SELECT source_id, page_no, count(*)::INT AS parsed_cards, list(content_hash ORDER BY position)[1:5] AS signature FROM parsed GROUP BY ALL),
     audit AS (SELECT s.source_id, s.page_no, length(l.html) < 5000 AS blocked, s.kind = 'empty' AS empty_state, s.has_next, coalesce(r.raw_cards, 0) AS raw_cards, coalesce(q.parsed_cards, 0) AS parsed_cards,

@@ -91,6 +91,17 @@ _CARD_VALUES = """
             FROM {v_page_slots} s JOIN {v_products} p ON CAST(floor(p.id / 200) AS bigint) = s.source_id AND CAST(floor((p.id % 200) / 20) AS int) + 1 = s.shown_page
             LEFT JOIN {v_best} b ON b.product_id = p.id WHERE s.kind = 'cards'"""
 
+def _json(text: str) -> str:
+    """A SQL text with < and > for braces, which both engines' views keep for names."""
+    return "(" + text.replace("<", "' || chr(123) || '").replace(">", "' || chr(125) || '") + ")"
+
+
+_STATE_ITEM = " || ".join([
+    _json("""'<"id":'"""), """coalesce('"' || external_id || '"', 'null')""", """',"title":"' || title || '","url":"' || url || '",'""", _json("""'"prices":<"id":1,"prices":<"currentPrice":"'"""),
+    "coalesce(CAST(current_price AS string), '0')", """'","originalPrice":' || coalesce('"' || CAST(original_price AS string) || '"', 'null')""", """',"discountPercent":' || coalesce(CAST(discount_percent AS string), 'null')""",
+    _json("""'>>,"freeShipping":'"""), "CASE WHEN free_shipping THEN 'true' ELSE 'false' END", _json("'>'"),
+])
+
 VIEWS: dict[str, str] = {
     "v_products": f"""
         SELECT p_partkey AS id, {_pick(TITLES, 'p_partkey')} || ' ' || p_name AS main_name,
@@ -201,12 +212,20 @@ VIEWS: dict[str, str] = {
         FROM {{lineitem}} JOIN {{v_products}} p ON p.id = l_partkey WHERE l_linestatus = 'O'""",
     "v_members": """
         SELECT id, source_id, external_item_id, content_hash, raw_title, is_active, CASE WHEN source_id % 6 <> 0 THEN 'b1' END AS last_batch, CAST(length(content_hash) % 2 AS int) AS missed FROM {v_memberships}""",
+    # Brand stores: an embedded state, cards of one kind of markup, or a broken state and cards of another kind.
+    "v_store_pages": f"""
+        SELECT source_id, page_no, CASE page_no % 3
+                 WHEN 0 THEN 'window.__PRELOADED_STATE__ = ' || {_json(''''<"searchState":<"itemsResponse":<"results":[''' + "'")} || @listed(record, position) || {_json("']>>>;'")}
+                 WHEN 1 THEN @joined(grid, position) ELSE 'window.__PRELOADED_STATE__ = ' || {_json("'<oops>;'")} || @joined(item, position) END AS html
+        FROM (SELECT source_id, page_no, position, replace({_CARD}, '<div class="ui poly-card">', '<div class="poly-card--grid-card">') AS grid,
+                     replace(replace({_CARD}, '<div class="ui poly-card">', '<li class="ui-search-layout__item">'), 'poly-component__title"', 'ui-search-result__title"') AS item, {_STATE_ITEM} AS record
+              FROM {{v_cards}}) r GROUP BY source_id, page_no""",
     "v_colors": f"SELECT p_partkey AS product_id, {_pick(COLORS, 'p_partkey')} AS name, {_pick(COLORS, '(p_partkey + 2)')} AS variation_name FROM {{part}}",
 }
 
 _MACROS = {
-    "spark": {"joined": lambda x, order: f"array_join(transform(array_sort(collect_list(struct({order}, {x}))), z -> z.{x}), '')", "minutes": lambda x: f"make_interval(0, 0, 0, 0, 0, CAST({x} AS int), 0)", "json_int": lambda c, k: f"CAST(get_json_object({c}, '$.{k}') AS bigint)"},
-    "duckdb": {"joined": lambda x, order: f"string_agg({x}, '' ORDER BY {order})", "minutes": lambda x: f"to_minutes(CAST({x} AS int))", "json_int": lambda c, k: f"CAST(json_extract_string({c}, '$.{k}') AS bigint)"},
+    "spark": {"listed": lambda x, order: f"array_join(transform(array_sort(collect_list(struct({order}, {x}))), z -> z.{x}), ',')", "joined": lambda x, order: f"array_join(transform(array_sort(collect_list(struct({order}, {x}))), z -> z.{x}), '')", "minutes": lambda x: f"make_interval(0, 0, 0, 0, 0, CAST({x} AS int), 0)", "json_int": lambda c, k: f"CAST(get_json_object({c}, '$.{k}') AS bigint)"},
+    "duckdb": {"listed": lambda x, order: f"string_agg({x}, ',' ORDER BY {order})", "joined": lambda x, order: f"string_agg({x}, '' ORDER BY {order})", "minutes": lambda x: f"to_minutes(CAST({x} AS int))", "json_int": lambda c, k: f"CAST(json_extract_string({c}, '$.{k}') AS bigint)"},
 }
 
 
