@@ -85,10 +85,13 @@ def affiliate_url(v):
     return v.v_sources.select("id", X.tracked(F.col("url"), "tool=1&word=").alias("url"))
 
 
-@query("external_id", "SELECT id, external_id AS item_id FROM v_offers")
+_ITEM_LINKS = ("https://shop.example.test/MLB-{}-title?x=1", "https://x.test/MLBU{}", "https://x.test/p?item=mlb{}#z", "https://x.test/none/{}", "")
+
+
+@query("external_id", "SELECT id, [concat('MLB', product_id), concat('MLB', product_id), concat('mlb', product_id), NULL, NULL][product_id % 5 + 1] AS item_id FROM v_offers")
 def external_id(v):
-    links = F.concat(F.lit("https://shop.example.test/MLB-"), F.substring("external_id", 4, 40), F.lit("-title?x=1"))
-    return v.v_offers.select("id", X.item_id(links).alias("item_id"))
+    links = F.array(*[F.format_string(x.replace("{}", "%d"), "product_id") if "{}" in x else F.lit(x) for x in _ITEM_LINKS])
+    return v.v_offers.select("id", X.item_id(F.get(links, (F.col("product_id") % 5).cast("int"))).alias("item_id"))
 
 
 @query("redact_url", "SELECT id, CASE WHEN contains(url, '?s=') THEN string_split(url, '?s=')[1] || '?s=redacted' ELSE url END AS url FROM v_sources")
@@ -96,9 +99,13 @@ def redact_url(v):
     return v.v_sources.select("id", X.redacted(F.concat("url", F.lit("#top"))).alias("url"))
 
 
-@query("strip_fragment", "SELECT id, url FROM v_sources")
+_FRAGMENTS = ("#x#y", "", "#", "?a=1#b?c")
+
+
+@query("strip_fragment", "SELECT id, url || ['', '', '', '?a=1'][CAST(id % 4 AS INT) + 1] AS url FROM v_sources")
 def strip_fragment(v):
-    return v.v_sources.select("id", F.substring_index(F.concat("url", F.lit("#x#y")), "#", 1).alias("url"))
+    ends = F.array(*[F.lit(x) for x in _FRAGMENTS])
+    return v.v_sources.select("id", F.substring_index(F.concat("url", F.get(ends, (F.col("id") % 4).cast("int"))), "#", 1).alias("url"))
 
 
 @query("content_sha256", r"""SELECT id, sha256(normalized_title || '::' || regexp_replace(regexp_replace(CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR), '(\.\d*?)0+$', '\1'), '\.$', '')) AS hash FROM v_processed""")
