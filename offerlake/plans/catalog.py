@@ -76,18 +76,10 @@ def brand_in_list(v):
 
 
 @query("product_detail", """
-    SELECT p.id, p.main_name, b.name AS brand_name, c.name AS category_name, count(o.id) AS n_offers, first(o.id ORDER BY o.last_seen_at DESC, o.id) AS newest_offer, min(o.current_price) AS lowest_price
-    FROM v_products p LEFT JOIN v_brands b ON b.slug = p.brand_slug LEFT JOIN v_categories c ON c.slug = p.category_slug LEFT JOIN v_offers o ON o.product_id = p.id AND o.status = 'active'
-    WHERE p.id IN (1, 5, 17, 40, 100, 199) GROUP BY ALL""")
-def product_detail(v):
-    return _detail(C.product_detail(C.with_dimensions(v.v_products, v.v_brands, v.v_categories), v.v_offers, [1, 5, 17, 40, 100, 199]))
-
-
-@query("product_detail_whole", """
     SELECT p.id, p.main_name, b.name AS brand_name, c.name AS category_name, count(o.id) AS n_offers, first(o.id ORDER BY o.last_seen_at DESC, o.id) AS newest_offer, min(o.current_price) AS lowest_price
     FROM v_products p LEFT JOIN v_brands b ON b.slug = p.brand_slug LEFT JOIN v_categories c ON c.slug = p.category_slug LEFT JOIN v_offers o ON o.product_id = p.id AND o.status = 'active'
     GROUP BY ALL""")
-def product_detail_whole(v):
+def product_detail(v):
     return _detail(C.product_detail(C.with_dimensions(v.v_products, v.v_brands, v.v_categories), v.v_offers))
 
 
@@ -115,13 +107,13 @@ def catalog_page(v):
 _RANKED = "SELECT *, row_number() OVER (ORDER BY discount_percent DESC NULLS LAST, created_at DESC, id) AS api_rank FROM v_catalog"
 
 
-@query("sort_modes", f"""
+@query("sort_modes_top", f"""
     WITH r AS ({_RANKED}) SELECT * FROM (
       SELECT 'highest_discount' AS mode, id, row_number() OVER (ORDER BY discount_percent DESC NULLS LAST, api_rank) AS place FROM r UNION ALL
       SELECT 'relevance', id, row_number() OVER (ORDER BY api_rank) FROM r UNION ALL
       SELECT 'lowest_price', id, row_number() OVER (ORDER BY current_price ASC NULLS LAST, api_rank) FROM r UNION ALL
       SELECT 'most_recent', id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, api_rank) FROM r) x WHERE place <= 40""")
-def sort_modes(v):
+def sort_modes_top(v):
     out = None
     base = [F.col("discount_percent").desc_nulls_last(), F.desc("created_at"), F.col("id")]
     for mode in C.SORTS:
@@ -132,13 +124,13 @@ def sort_modes(v):
     return out
 
 
-@query("sort_modes_whole", f"""
+@query("sort_modes", f"""
     WITH r AS ({_RANKED})
       SELECT 'highest_discount' AS mode, id, row_number() OVER (ORDER BY discount_percent DESC NULLS LAST, api_rank) AS place FROM r UNION ALL
       SELECT 'relevance', id, row_number() OVER (ORDER BY api_rank) FROM r UNION ALL
       SELECT 'lowest_price', id, row_number() OVER (ORDER BY current_price ASC NULLS LAST, api_rank) FROM r UNION ALL
       SELECT 'most_recent', id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, api_rank) FROM r""")
-def sort_modes_whole(v):
+def sort_modes(v):
     base = [F.col("discount_percent").desc_nulls_last(), F.desc("created_at"), F.col("id")]
     parts = [C.placed(v.v_catalog, [*C.sort_keys(mode), *base]).select(F.lit(mode).alias("mode"), "id", "place") for mode in C.SORTS]
     return reduce(DataFrame.unionByName, parts)
@@ -153,13 +145,13 @@ def pagination(v):
     return rows.join(F.broadcast(pages)).select("id", "discount_percent", "pages")  # one row of totals
 
 
-@query("triage_order", "SELECT id, priority, created_at FROM v_triage ORDER BY priority DESC, created_at, id LIMIT 100")
-def triage_order(v):
+@query("triage_order_top", "SELECT id, priority, created_at FROM v_triage ORDER BY priority DESC, created_at, id LIMIT 100")
+def triage_order_top(v):
     return v.v_triage.orderBy(F.col("priority").desc_nulls_first(), F.col("created_at").asc_nulls_last(), "id").limit(100).select("id", "priority", "created_at")
 
 
-@query("triage_order_whole", "SELECT id, priority, created_at, row_number() OVER (ORDER BY priority DESC NULLS FIRST, created_at ASC NULLS LAST, id) AS place FROM v_triage")
-def triage_order_whole(v):
+@query("triage_order", "SELECT id, priority, created_at, row_number() OVER (ORDER BY priority DESC NULLS FIRST, created_at ASC NULLS LAST, id) AS place FROM v_triage")
+def triage_order(v):
     return C.placed(v.v_triage, [F.col("priority").desc_nulls_first(), F.col("created_at").asc_nulls_last(), F.col("id")]).select("id", "priority", "created_at", "place")
 
 
@@ -169,40 +161,42 @@ def source_order(v):
     return C.placed(v.v_sources, order).select("id", "name", "priority", "starts_at", "place")
 
 
-@query("collected_order", "SELECT id, discount_percent, quantity FROM v_processed ORDER BY coalesce(discount_percent, 0) DESC, coalesce(quantity, 0) DESC, id LIMIT 200")
-def collected_order(v):
+@query("collected_order_top", "SELECT id, discount_percent, quantity FROM v_processed ORDER BY coalesce(discount_percent, 0) DESC, coalesce(quantity, 0) DESC, id LIMIT 200")
+def collected_order_top(v):
     return v.v_processed.orderBy(F.coalesce("discount_percent", F.lit(0)).desc(), F.coalesce("quantity", F.lit(0)).desc(), "id").limit(200).select("id", "discount_percent", "quantity")
 
 
-@query("collected_order_whole", "SELECT id, discount_percent, quantity, row_number() OVER (ORDER BY coalesce(discount_percent, 0) DESC, coalesce(quantity, 0) DESC, id) AS place FROM v_processed")
-def collected_order_whole(v):
+@query("collected_order", "SELECT id, discount_percent, quantity, row_number() OVER (ORDER BY coalesce(discount_percent, 0) DESC, coalesce(quantity, 0) DESC, id) AS place FROM v_processed")
+def collected_order(v):
     order = [F.coalesce("discount_percent", F.lit(0)).desc(), F.coalesce("quantity", F.lit(0)).desc(), F.col("id")]
     return C.placed(v.v_processed, order).select("id", "discount_percent", "quantity", "place")
 
 
-@query("review_sorts", """
+@query("review_sorts_top", """
     SELECT * FROM (SELECT 'discount' AS mode, id FROM v_processed ORDER BY coalesce(discount_percent, 0) DESC, id LIMIT 30) UNION ALL
     SELECT * FROM (SELECT 'reviews', id FROM v_processed ORDER BY coalesce(quantity, 0) DESC, id LIMIT 30) UNION ALL
     SELECT * FROM (SELECT 'price', id FROM v_processed ORDER BY price ASC NULLS LAST, id LIMIT 30)""")
-def review_sorts(v):
+def review_sorts_top(v):
     modes = {"discount": F.coalesce("discount_percent", F.lit(0)).desc(), "reviews": F.coalesce("quantity", F.lit(0)).desc(), "price": F.col("price").asc_nulls_last()}
     parts = [v.v_processed.orderBy(key, "id").limit(30).select(F.lit(mode).alias("mode"), "id") for mode, key in modes.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("review_sorts_whole", """
+@query("review_sorts", """
     SELECT 'discount' AS mode, id, row_number() OVER (ORDER BY coalesce(discount_percent, 0) DESC, id) AS place FROM v_processed UNION ALL
     SELECT 'reviews', id, row_number() OVER (ORDER BY coalesce(quantity, 0) DESC, id) FROM v_processed UNION ALL
     SELECT 'price', id, row_number() OVER (ORDER BY price ASC NULLS LAST, id) FROM v_processed""")
-def review_sorts_whole(v):
+def review_sorts(v):
     modes = {"discount": F.coalesce("discount_percent", F.lit(0)).desc(), "reviews": F.coalesce("quantity", F.lit(0)).desc(), "price": F.col("price").asc_nulls_last()}
     parts = [C.placed(v.v_processed, [key, F.col("id")]).select(F.lit(mode).alias("mode"), "id", "place") for mode, key in modes.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("top_products", "SELECT id, discount_percent FROM v_catalog ORDER BY discount_percent DESC NULLS LAST, id LIMIT 16")
+@query("top_products", "SELECT id, discount_percent, row_number() OVER (ORDER BY discount_percent DESC NULLS LAST, id) AS place FROM v_catalog ORDER BY discount_percent DESC NULLS LAST, id LIMIT 16")
 def top_products(v):
-    return v.v_catalog.orderBy(F.col("discount_percent").desc_nulls_last(), "id").limit(16).select("id", "discount_percent")
+    order = [F.col("discount_percent").desc_nulls_last(), F.col("id")]
+    first = v.v_catalog.orderBy(*order).limit(16)
+    return first.select("id", "discount_percent", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # 16 rows
 
 
 @query("image_order", """

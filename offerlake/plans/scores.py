@@ -80,12 +80,12 @@ def decision_averages(v):
     return _decided(v).select("id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("decision_ranking", f"WITH {_DECIDED} SELECT id, score FROM d ORDER BY score DESC, id LIMIT 50")
-def decision_ranking(v):
+@query("decision_ranking_top", f"WITH {_DECIDED} SELECT id, score FROM d ORDER BY score DESC, id LIMIT 50")
+def decision_ranking_top(v):
     return _decided(v).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
-@query("decision_ranking_whole", f"WITH {_DECIDED} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM d")
-def decision_ranking_whole(v):
+@query("decision_ranking", f"WITH {_DECIDED} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM d")
+def decision_ranking(v):
     ranked = _decided(v).select("id", F.round("score", 6).alias("score"))
     return C.placed(ranked, [F.desc("score"), F.col("id")])
