@@ -39,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: lineage ends, sizes are known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged
@@ -162,13 +162,19 @@ def batches_of_sizes(sizes, limit: int):
         yield start, i
 
 
-def batches_of_texts(texts: list[bytes], limit: int = 1 << 20):
-    """Ranges of texts of about so many bytes, so that the arrays stay in the cache."""
-    yield from batches_of_sizes(map(len, texts), limit)
-
-
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8, null as empty."""
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def text_chunks(column, limit: int = 1 << 20, read=text_bytes):
+    """Ranges of an Arrow string column, of about so many bytes each, with their texts: a batch is never all Python objects at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for a, b in batches_of_sizes(sizes, limit):
+        yield a, b, read(column.slice(a, b - a))
+    pa.default_memory_pool().release_unused()

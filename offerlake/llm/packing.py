@@ -1,14 +1,17 @@
 """Best-fit packing of documents into fixed-length sequences by a grouping genetic algorithm.
 
 A document's ids and a final separator are one piece, or, if too long, pieces of full length with the
-shorter one first. Full pieces are sequences by themselves. The others are dealt by hash to shards of
-bounded size, and each shard to islands. An island breeds packings: crossover injects whole well-filled
+shorter one first. Full pieces are sequences by themselves. The others are dealt, in the order in which the
+documents come, to shards of bounded size, and each shard to islands. An island breeds packings: crossover injects whole well-filled
 bins of one parent into another, drops the bins that hold the same pieces, and best-fits the displaced
 pieces; mutation dissolves the emptiest bins. Between rounds an island's elite migrates to its neighbour
-through a shuffle. Bins that stay emptier than a bound are dissolved and packed again across shards.
+through a shuffle. Where best-fit alone reaches the bound (all tokens over the length), no packing has fewer
+bins, so nothing is bred. Bins that stay emptier than a bound are dissolved and packed again across shards.
+A sequence is named after its first piece, so sequences in the order of their ids follow the documents' order.
 
 Defined results: a null or empty text is the separator alone. Repeated rows are separate pieces. An empty
-table gives no pieces. Reruns agree: every random choice is seeded by shard, island and round.
+table gives no pieces. Texts of any length are encoded whole. Only id and text are read, so other columns
+can't clash. Equal lengths are told apart by item. Reruns agree: every random choice is seeded by shard, island and round.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import stage, text_chunks
 from .tokens import TextTokenizer, default_tokenizer
 
 LENGTH = 2048
+#: Bytes of text, about, that are encoded at once.
+TEXT_BYTES = 2 << 20
 SHARD_PIECES = 4096
-ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 4, 6
+ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 6, 24
 #: Bins less full than this are packed again across shards, in so many levels.
 POOR_FILL, LEVELS = 0.97, 3
 
@@ -41,12 +46,12 @@ def pieces_of(docs: DataFrame, tokenizer: Callable[[], TextTokenizer] = default_
 
         tok = tokenizer()
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(tok.encode(text or ""), np.uint32(0)).astype("<u4")
-                cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
-                out += [(doc, i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            if out:
+            for low, high, found in text_chunks(batch.column(1), TEXT_BYTES, tok.encode_all):
+                out = []
+                for doc, ids in zip(batch.column(0)[low:high].to_pylist(), found, strict=True):
+                    ids = np.append(ids, np.uint32(0)).astype("<u4", copy=False)
+                    cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
+                    out += [(doc, i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType
@@ -151,6 +156,8 @@ def breed(size: list[int], length: int, elites: list[list[list[int]]], seed: int
     first.best_fit(list(range(len(size))))
     people.append(first)
     best = max(people, key=Bins.fitness)
+    if len(best.items) <= bound:
+        return best  # no packing has fewer
     while len(people) < POPULATION:
         shuffled = Bins(size, length)
         for i in rng.sample(range(len(size)), len(size)):
@@ -158,7 +165,7 @@ def breed(size: list[int], length: int, elites: list[list[list[int]]], seed: int
         people.append(shuffled)
     for _ in range(GENERATIONS):
         if len(best.items) <= bound:
-            break  # no packing has fewer
+            break
         a, b = rng.sample(people, 2)
         people += [mutate(crossover(a, b, rng), rng), mutate(best, rng)]
         people = sorted(people, key=Bins.fitness, reverse=True)[:POPULATION]
@@ -197,11 +204,26 @@ def _best_island(length: int):
     return run
 
 
+def ranked(items: DataFrame) -> DataFrame:
+    """Adds ``rank``: the rows before an item, in the order of its number; numbers come from ``monotonically_increasing_id``."""
+    part = F.shiftright("item", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = items.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min("item").alias("low"))
+    starts = starts.select("part", "low", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("item"))
+    return items.withColumn("part", part).join(starts.select("part", "before"), "part").withColumn("rank", F.col("before") + within - 1).drop("part", "before")
+
+
 def pack_items(items: DataFrame, n: int, length: int, level: int) -> DataFrame:
-    """item, length, bin (null, or the bin it comes from) to item, length, bin, offset, fill."""
+    """item, length, bin (null, or the bin it comes from) to item, length, bin, offset, fill.
+
+    First the shards are stretches of the input's order, so that a mix keeps its curriculum; poor bins are then dealt by hash.
+    """
     shards = max(1, -(-n // SHARD_PIECES))
-    group = F.coalesce("bin", "item")  # a bin stays in one shard, as a packing to start with
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64(group, F.lit(level)), F.lit(shards)))
+    if level == 0:
+        dealt = ranked(items).withColumn("shard", F.floor(F.col("rank") / SHARD_PIECES)).drop("rank")
+    else:  # a bin stays in one shard, as a packing to start with
+        dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("bin", "item"), F.lit(level)), F.lit(shards)))
     rows = dealt.select("item", "length", "shard", F.lit(0).cast("long").alias("origin"), "bin")
     schema = "item long, length long, shard long, origin long, bin long"
     for turn in range(ROUNDS):

@@ -2,16 +2,20 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from offerlake.llm import exact_dedup, ngram_join, packing, quality, secrets, substring_dedup, toxicity, warc
 from offerlake.llm.line_dedup import LineDedup
 from offerlake.llm.mixing import Mix
+from offerlake.llm.tokens import default_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -269,8 +273,8 @@ def test_mix_positions(spark, rows):
 
 
 def test_packing(docs, rows):
-    tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
+    import tokenizers
 
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = packing.pack(docs).collect()
@@ -294,6 +298,70 @@ def test_packing(docs, rows):
     assert len(sequences) <= -(-total // 2048) + 1
 
 
+def test_ids_of_odd_texts():
+    """Word by word or whole, ids are the library's own."""
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["a", "b", "'s", "é", "日", "1", ".", "!", " ", " ", "  ", "\n", "\n\n", "\t", "\u3000", "\x85", "\x1c", "\xa0", "<|endoftext|>", "don't", "X", "\r\n", "\u200b", "a b\nc d", "long"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)] + [None]
+    found = default_tokenizer().encode_all(pa.array(texts))
+    assert all(ids.tolist() == library.encode(t or "", add_special_tokens=False).ids for t, ids in zip(texts, found, strict=True))
+
+
+def test_crossover_beats_best_fit(spark):
+    """Bins of three items each with little room to spare: islands with migration save bins, here down to the bound."""
+
+    def instance(seed, bins, slack, length=100):
+        rng, out = random.Random(seed), []
+        for _ in range(bins):
+            a, c = rng.randint(26, 44), rng.randint(0, slack)
+            b = rng.randint(25, length - c - 25 - a) if length - c - 25 - a > 25 else 25
+            out += [a, b, length - c - a - b]
+        rng.shuffle(out)
+        return out
+
+    for seed, bins, slack, most in ((6, 10, 4, 10), (9, 12, 4, 12), (9, 16, 6, 16), (0, 40, 2, 42)):
+        size = instance(seed, bins, slack)
+        plain = packing.Bins(size, 100)
+        plain.best_fit(list(range(len(size))))
+        items = spark.createDataFrame([(i, n, None) for i, n in enumerate(size)], "item long, length long, bin long")
+        found = packing.pack_items(items, len(size), 100, 0).collect()
+        assert sorted((r.item, r.length) for r in found) == list(enumerate(size))
+        filled = collections.Counter()
+        for r in found:
+            filled[r.bin] += r.length
+        assert max(filled.values()) <= 100
+        assert len(filled) <= most < len(plain.items)
+
+
+def test_quality_counts_every_ngram(spark):
+    """The ratio against a count in Python; n-grams with NUL bytes count in short and in long texts, none over an edge."""
+    texts = ["ab\0cd", "ab\0cd" + "x" * 300_000, "", "z", "zz", "zzz", "é\0é", None, "plain words of some text here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = collections.Counter()
+    for t in texts:
+        data = (t or "").encode()
+        want.update(sum(b * 257 ** (2 - k) for k, b in enumerate(data[i : i + 3])) for i in range(len(data) - 2))
+    buckets = np.zeros(quality.BUCKETS, np.int64)
+    for value, n in want.items():
+        buckets[(value * 2654435761 % 2**32 >> 16) % quality.BUCKETS] += n
+    assert (quality.counts(docs, "text") == buckets).all()
+    labels = spark.createDataFrame([(8, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    found = quality.QualityRules(docs, labels, carry=["doc_id"])
+    target = np.zeros(quality.BUCKETS, np.int64)
+    for t in (texts[8], texts[1]):
+        data = np.frombuffer(t.encode(), np.uint8)
+        target += np.bincount(quality.hashed_ngrams(data), minlength=quality.BUCKETS)
+    for r in found.judged.select("doc.doc_id", "rules.score").collect():
+        data = (texts[r.doc_id] or "").encode()
+        grams = [int(g) for g in quality.hashed_ngrams(np.frombuffer(data, np.uint8))]
+        ratios = [math.log((target[g] + 1) / (target.sum() + quality.BUCKETS)) - math.log((buckets[g] + 1) / (buckets.sum() + quality.BUCKETS)) for g in grams]
+        assert r.score == pytest.approx(sum(ratios) / len(ratios) if ratios else 0.0, abs=1e-6)
+
+
 def test_quality(spark, docs, rows):
     def rules(text):
         words = WORD.findall(text or "")
@@ -333,6 +401,36 @@ def test_secrets(spark):
     assert all("markov" not in found[d].spans for d in range(len(texts) - 1))
 
 
+def test_secrets_that_no_pattern_names(spark):
+    """Recall of planted random tokens; identifiers with a few digits are left alone; repeated rows are scanned alike."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    parts = ["Service", "manager", "Config", "request", "Handler", "buffer", "Index", "stream", "Parser", "node", "Queue", "worker", "Value", "table", "Cache"]
+    name = lambda: rng.choice(["_", ""]).join(rng.choices(parts, k=4))
+    texts = [f'token: "{key(24)}" and {name()} of {name()} with {name()}' for _ in range(300)]
+    planted = [f"see {key(rng.randint(20, 40))}x1 there" for _ in range(300)]
+    plain = [f"see {name()}{rng.randint(1, 9)} there" for _ in range(300)]
+    rows = list(enumerate(texts + planted + plain)) + [(300, planted[0]), (None, planted[0])]
+    found = collections.defaultdict(list)
+    for r in secrets.report(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        found[r.doc_id].append(r.spans)
+    assert sum("markov" in found[i][0] for i in range(300, 600)) >= 270
+    assert not any("markov" in found[i][0] for i in range(600, 900))
+    assert found[300] == found[None] * 2
+
+
+def test_secrets_in_long_texts(spark):
+    """A million letters, and a hundred thousand matches, in seconds."""
+    texts = ["q" * 1_000_000, "0123456789abcdef" * 2, " ".join(["0123456789abcdef" * 2] * 100_000), "Ab1" * 300_000, 'token = "xK29dkQpz81LmNqR7"' + " ordinary_identifier" * 50_000 + " aB3dE5fG7hJ9kL2mN4" * 20_000]
+    started = time.monotonic()
+    found = {r.doc_id: r for r in secrets.report(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert time.monotonic() - started < 60
+    assert [found[i].n_hex for i in range(5)] == [0, 1, 100_000, 0, 0]
+    assert found[4].n_assign == 1
+    told = ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(100_000))
+    assert found[2].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     plain = ["house", "river", "green", "letter", "window", "garden", "morning", "number"]
@@ -345,17 +443,64 @@ def test_toxicity(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(i % 4 == 0)))
     rows += [(1000, "house river st1nk3r green"), (1001, "river s.t.i.n.k.e.r window"), (1002, "green s t i n k e r letter"), (1003, "stiiiinker"), (1004, None), (1005, ""), (1006, "green r1ver")]
+    rows += [(1007, "stin ker"), (1008, "!num8skull!"), (1009, "window a s t i n k e r river"), (1010, "numbsskull"), (1011, "green " * 50_000 + "st1nker"), (1011, "green " * 50_000 + "st1nker"), (None, "a " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     found = {r.doc_id: r for r in toxicity.Toxicity(docs, known).scored.collect()}
-    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in found.items())
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in found.items() if d is not None)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.values())
     assert all(found[i].predicted == int(i % 4 == 0) for i in range(400))
-    assert [found[i].predicted for i in range(1000, 1007)] == [1, 1, 1, 1, 0, 0, 0]
+    assert [found[i].predicted for i in range(1000, 1012)] == [1, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1, 1]
+    assert not found[None].held_out
     assert found[1004].score == found[1005].score
     assert toxicity.Toxicity(docs, known.limit(0)).scored.where("predicted = 1").count() == 0
 
 
+def test_decoder_against_every_path():
+    """Viterbi decoding finds the best of all readings of short texts."""
+    rng = np.random.default_rng(9)
+    cube = rng.dirichlet(np.ones(toxicity._CLASSES) * 0.3, (toxicity._CLASSES, toxicity._CLASSES))
+    decoder = toxicity.Decoder(np.log(cube + 1e-9))
+    cls = lambda ch: decoder._class(ch) if ch else 0
+
+    def readings(lattice, path, last, score):
+        """last: the two letters that the model looks back on; a repeated letter leaves no trace."""
+        if not lattice:
+            yield score + decoder.model[cls(last[0])][cls(last[1])][0], path
+            return
+        for x, cost in lattice[0]:
+            if not x:
+                yield from readings(lattice[1:], path, last, score + cost)
+                continue
+            yield from readings(lattice[1:], path + x, (last[1], x), score + cost + decoder.model[cls(last[0])][cls(last[1])][cls(x)])
+            if x == last[1]:
+                yield from readings(lattice[1:], path, last, score + cost + toxicity.REPEATED)
+
+    pick = random.Random(3)
+    for _ in range(300):
+        written = "".join(pick.choices("abil1!|5$.-  é@(+", k=pick.randint(1, 7))).strip() or "a"
+        assert decoder.decode(written) == max(readings(decoder.lattice(written), "", ("", ""), 0.0))[1]
+
+
+def test_scorer_finds_what_full_decoding_finds():
+    """The look-up of skeletons skips no lattice with a path to a feature."""
+    model = np.log(np.full((toxicity._CLASSES,) * 3, 1 / toxicity._CLASSES))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for word in ("stupid", "loser", "idiot"):
+        padded = ["", "", *word]
+        for x, y, z in zip(padded, padded[1:], [*padded[2:], ""], strict=False):
+            model[tuple(toxicity.Decoder._class(c) if c else 0 for c in (x, y, z))] = -0.05
+        model[toxicity.Decoder._class(word[-2]), toxicity.Decoder._class(word[-1]), 0] = -0.05
+        model[toxicity.Decoder._class(word[-1]), 0, [toxicity.Decoder._class(c) for c in letters]] = -2.0
+    scorer = toxicity.Scorer(model, {"stupid": 0, "loser": 1, "idiot": 2}, {"id"})
+    cases = {"st(u)pid": [], "5tup1d": [0], "s.t.u.p.i.d!": [0], "stuupiid": [0], "looser": [1], "lo$er": [1], "!diot": [2], "|diot|": [2], "(idiot)": [2], "idio+": [2], "a l o s e r": [1], "s t u p i d i d i o t": [0, 2], "id iot": [2], "i - d - i o t": [2], "I d ! 0 t": [2], "an id card": [], "s s s s tupid": [0], "": [], "one two": [], "STUPID, loser.": [0, 1]}
+    texts, found = scorer.find(pa.array(list(cases)))
+    got = collections.defaultdict(list)
+    for t, f in zip(texts, found, strict=True):
+        got[int(t)].append(int(f))
+    assert {c: got[i] for i, c in enumerate(cases)} == cases
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é" * 400
     rows = [(1, "http://a/", None), (2, "http://b/", big), (9, "http://c/", big), (5, None, big), (7, "http://d/", "x"), (8, "http://e/", "x"), (4, "http://f/", "\r\n\r\nWARC/1.1\r\n" * 100), (9, "http://c/", big)]
