@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batches_of_texts, fits, stage
+from .common import Words, fits, stage, text_chunks
 from .filters import MAX_BITS, KeyFilter, key_filter
 
 WINDOW, MINIMISER = 50, 10
@@ -93,9 +93,9 @@ def _minimisers(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), canonical(batch.column(1))
-        for a, b in batches_of_texts(texts):
-            found = SuperKmers(texts[a:b])
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b, texts in text_chunks(batch.column(1), read=canonical):
+            found = SuperKmers(texts)
             yield pa.RecordBatch.from_arrays([pa.array(found.minimisers.view(np.int64)), pa.array(ids[a:b][found.text])], names=["mh", "id"])
 
 
@@ -120,9 +120,9 @@ def _super_kmers(keep: KeyFilter):
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sid", "mh", "id", "th", "first", "windows", "packed", "low", "high"])
 
         for batch in batches:
-            ids, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), canonical(batch.column(2))
-            for a, b in batches_of_texts(texts):
-                found = SuperKmers(texts[a:b])
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, texts in text_chunks(batch.column(2), read=canonical):
+                found = SuperKmers(texts)
                 rows = []
                 mh = found.minimisers.view(np.int64)
                 for i in np.flatnonzero(keep.hits(found.minimisers)):

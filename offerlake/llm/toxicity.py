@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of_sizes, batches_of_texts, sampled, stage, text_bytes
+from .common import sampled, stage, text_chunks
 
 TRAIN_ROWS, FEATURES, MIN_DOCS = 20_000, 400, 5
 CACHE_WORDS = 300_000
@@ -42,7 +42,7 @@ IMITATED, DROPPED, EDGE, REPEATED, JOINED, ODD = -0.7, -0.2, -0.1, -0.3, -1.0, -
 #: Single characters in a row that may be a word spelt out.
 SPELT = 3
 #: Bytes of text, about, that are scored at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 _EDGES = re.compile(r"^[^\w]*|[^\w]*$")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -63,9 +63,8 @@ def _count_trigrams(batches: Iterator) -> Iterator:
 
     total = np.zeros(_CLASSES**3, np.int64)
     for batch in batches:
-        texts = text_bytes(batch.column(0))
-        for a, b in batches_of_texts(texts):
-            data = np.frombuffer(b"  " + b"  ".join(texts[a:b]) + b"  ", np.uint8)
+        for _, _, texts in text_chunks(batch.column(0)):
+            data = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)
             c = _CLASS[data[(data & 0xC0) != 0x80]]  # a character is one, of however many bytes
             total += np.bincount((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], minlength=_CLASSES**3)
     seen = np.flatnonzero(total)
@@ -324,15 +323,13 @@ class Toxicity:
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
-            import pyarrow.compute as pc
 
             scorer = Scorer(model.value, features, known)
             for batch in batches:
                 total = np.full(batch.num_rows, bias)
                 if features:
-                    sizes = pc.coalesce(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-                    for low, high in batches_of_sizes(sizes, TEXT_BYTES):
-                        text, feature = scorer.find(batch.column(1)[low:high])
+                    for low, _, texts in text_chunks(batch.column(1), TEXT_BYTES, lambda c: c):
+                        text, feature = scorer.find(texts)
                         np.add.at(total, low + text, weights[feature])
                 scores = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
