@@ -9,15 +9,18 @@ A source that no task could hold is cut into blocks by the documents' hashes: bl
 first, and running sums are taken within a block only.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source, after all
-others; of repeated rows, each counts. A mix of nothing is empty. Columns travel in a struct.
+others; of repeated rows, each counts. A mix of nothing is empty. Texts of any length are counted whole; one
+is cut only where its source's target ends. Columns travel in a struct, so none can clash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, word_array
+from .common import WORD, small, stage, word_array
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -75,23 +78,32 @@ class Mix:
         key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         name = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col)))  # no nulls in join keys
-        sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), name.alias("name"), key.alias("key"), F.substring(key, 1, BLOCK_DIGITS).alias("block"), size.alias("size"))
+        # One write counts the words once and gives every row a number; what follows moves narrow rows only.
+        own = [F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), name.alias("name"), key.alias("key"), F.substring(key, 1, BLOCK_DIGITS).alias("block"), size.alias("size")]
+        self._rows = stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), *own), "mix-rows")
+        self._n = self._rows.count()
+        sized = self._rows.drop("doc")
         blocks = sized.groupBy("name", "source", "block").agg(F.sum("size").alias("block_size"))
         sources = targets(blocks.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, share, cap)
         sources = sources.withColumn("name", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))).drop("source")
         running = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         starts = blocks.select("name", "block", F.coalesce(F.sum("block_size").over(running), F.lit(0)).alias("block_start")).join(sources, "name")
-        within = Window.partitionBy("name", "block").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("name", "block").orderBy("key", "id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
         laid = sized.join(starts, ["name", "block"]).withColumn("start", F.col("block_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
         whole = F.floor(F.col("target")).cast("long")
         laid = laid.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long"))
         rest = F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("epochs") * F.col("source_size") - F.col("start")))
         self.laid = laid.withColumn("rest", rest.cast("long"))
-        self.plan = self.laid.select("doc.*", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("rest")).alias("taken"))
-        self._text = text_col
+        taken = (F.col("size") * F.col("epochs") + F.col("rest")).alias("taken")
+        self.plan = self._with_docs(self.laid.select("rid", "size", "source_size", "target", taken)).select("doc.*", "size", "source_size", "target", "taken")
+        self._text, self._most_epochs = text_col, math.ceil(cap) + 1
         self._curriculum = curriculum
         self._columns = carry
 
+    def _with_docs(self, plan: DataFrame, rows: int = 1) -> DataFrame:
+        """A plan's rows (so many a document at most) with their documents."""
+        return self._rows.select("rid", "doc").join(small(plan, rows * self._n, 80), "rid")
+
     def _words(self, epoch: Column) -> Column:
         return F.when(epoch < F.col("epochs"), F.col("size")).otherwise(F.col("rest"))
 
@@ -105,8 +117,8 @@ class Mix:
         """``positions``: a training position per epoch that takes words of the document, none for what the mix leaves out (last)."""
         epochs = F.filter(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: self._words(e) > 0)
         taken = (F.col("size") * F.col("epochs") + F.col("rest")).alias("taken")
-        placed = self.laid.select("id", "doc", "size", "source_size", "target", taken, F.transform(epochs, self._position).alias("positions"))
-        ordered = placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "id")
+        placed = self.laid.select("rid", "id", "size", "source_size", "target", taken, F.transform(epochs, self._position).alias("positions"))
+        ordered = self._with_docs(placed).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "id")
         return ordered.select("doc.*", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
 
     @property
@@ -116,5 +128,6 @@ class Mix:
         many = self.laid.select("*", epochs).withColumn("words", self._words(F.col("epoch"))).where("words > 0")
         text = F.col(f"doc.{self._text}")
         cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(word_array(text), 1, F.col("words").cast("int")), " ")).otherwise(text)
-        placed = many.select(self._position(F.col("epoch")).alias("position"), "id", "epoch", F.col("doc").withField(self._text, cut).alias("doc"))
+        placed = self._with_docs(many.select("rid", self._position(F.col("epoch")).alias("position"), "id", "epoch", "words", "size"), self._most_epochs)
+        placed = placed.select("position", "id", "epoch", F.col("doc").withField(self._text, cut).alias("doc"))
         return placed.orderBy("position", "id", "epoch").select("doc.*")
