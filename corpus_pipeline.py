@@ -30,7 +30,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
-    return NgramJoin(docs, n=5, percent=80).kept
+    join = NgramJoin(docs, n=5, percent=80)
+    kept = stage(join.kept, "pipeline-near")
+    join.release()  # its sets are larger than the documents
+    return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

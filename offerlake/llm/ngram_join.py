@@ -10,8 +10,8 @@ pair: at least S + 1 groups must then hold the same tokens. A group's content ha
 few tokens are no keys, unless so many of a set's groups are small that they could be all that a pair
 shares. No link is lost by either rule.
 
-Exact copies collapse to one class first. Classes that share enough keys with the same first class make a
-cluster. A cluster's sets travel once, in pages of bounded size; each page has a tree, and every set of it
+Exact copies collapse to one class first. Classes are joined to clusters by sharing enough keys with a key's
+first class. A cluster's sets travel once, in pages of bounded size; each page has a tree, and every set of it
 searches the tree for sets of other components, best bound first, so that most of a group of near copies
 is joined by a comparison or two a set. Clusters of several pages are dealt anew once, their components
 known. Pairs of different components that share keys but never met in a page are then searched by key,
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batches_of_texts, drop, mix, small, stage, text_bytes
+from .common import Words, drop, mix, small, stage, text_chunks
 from .components import connected_components
 from .filters import MAX_BITS, KeyFilter, key_filter
 
@@ -46,12 +46,12 @@ COORDINATES = 64
 LEAF, PAGE, PAGE_TOKENS = 16, 512, 4 << 20
 #: Rows and tokens, on average, that one call searches.
 GROUP_ROWS, GROUP_TOKENS = 4096, 2 << 20
-#: Deals of a cluster of several pages, and steps that a class takes to its cluster's first one.
-TURNS, HOPS = 2, 2
+#: Deals of a cluster of several pages.
+TURNS = 2
 #: Ratio of the smallest to the largest size in a band.
 BAND = 0.7
 #: Sets that a task remembers, so as to send copies once.
-SEEN = 200_000
+SEEN = 50_000
 
 
 class Scheme:
@@ -302,6 +302,11 @@ class NgramJoin:
         dropped = stage(self._dropped, "join-dropped")
         return self._rows.join(small(dropped, dropped.count(), 32), "rid", "left_anti").select("doc.*")
 
+    def release(self) -> None:
+        """Deletes the join's tables; its results can't be read any more."""
+        drop(self._rows)
+        drop(self._classes)
+
     def _named(self, members: DataFrame) -> DataFrame:
         """cid, component (null: it links with no other class)."""
         placed = self._clustered(members)
@@ -315,14 +320,9 @@ class NgramJoin:
         return told.select("cid", F.coalesce("final", "component").alias("component"))
 
     def _clusters(self, members: DataFrame) -> DataFrame:
-        """v, label: a class and the first class of its cluster, for those that share enough keys with another."""
+        """v, label: a class and the first class of its cluster, for those that share enough keys with a key's first class."""
         met = members.where("v <> head").groupBy("v", "head").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least")).where("shared >= least")
-        labels = met.groupBy("v").agg(F.min("head").alias("label"))
-        for _ in range(HOPS):
-            further = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
-            labels = stage(labels.join(further, "label", "left").select("v", F.coalesce("further", "label").alias("label")), "join-labels")
-        first = labels.select("label").distinct().join(labels.select(F.col("v").alias("label")), "label", "left_anti")
-        return labels.union(first.select("label", "label"))
+        return connected_components(met.select(F.col("v").alias("a"), F.col("head").alias("b"))).select(F.col("vertex").alias("v"), F.col("component").alias("label"))
 
     def _clustered(self, members: DataFrame) -> DataFrame:
         """v, label, the page of each turn (q0, q1) and component, after the pages' links."""
@@ -399,10 +399,9 @@ def _all_keys(n: int, scheme: Scheme):
 
         seen: set[str] = set()
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in batches_of_texts(texts):
+            for _, _, texts in text_chunks(batch.column(0)):
                 out = []
-                for tokens in token_sets(texts[a:b], n):
+                for tokens in token_sets(texts, n):
                     name = _digest(tokens)
                     if name not in seen:
                         seen.add(name)
@@ -424,11 +423,10 @@ def _sets(docs: DataFrame, n: int, scheme: Scheme, keep: KeyFilter, id_col: str,
         seen: set[str] = set()
         for batch in batches:
             doc = batch.column(0)
-            texts = text_bytes(doc.field(text_col))
             kept = pa.StructArray.from_arrays([doc.field(c) for c in carry], names=carry)
-            for a, b in batches_of_texts(texts):
+            for a, b, texts in text_chunks(doc.field(text_col)):
                 out = []
-                for tokens in token_sets(texts[a:b], n):
+                for tokens in token_sets(texts, n):
                     name, keys = _digest(tokens), []
                     if name not in seen:
                         seen.add(name)
