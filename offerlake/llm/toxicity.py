@@ -9,7 +9,7 @@ The restored words' presence is scored by logistic regression, trained on a boun
 rows (TRAIN_ROWS, those with the lowest hashes) outside the held-out fold; its features are the words most
 associated with the label there. To score a document, only those lattices are decoded that have a path to a
 feature: a skeleton (look-alikes as one letter, runs as one, separators out) is the same for all paths of a
-lattice, so a look-up of skeletons finds them, over word bounds too, and skips nothing that could count.
+lattice, so a look-up of skeletons finds them. Over word bounds those words are looked for that make a text toxic alone.
 
 Defined results: null and empty texts have no words and score the model's prior. Repeated rows score alike.
 Without labelled rows of both kinds every score is the share of toxic labels, or 0. An empty table gives no
@@ -167,43 +167,48 @@ class Restorer(dict):
 
 
 #: One letter for all that may be mistaken for each other.
-_SAME = str.maketrans({ch: ("i" if "l" in x or "i" in x else x[0]) for ch, x in LOOKALIKES.items()} | {"l": "i"})
-_NOTHING = str.maketrans("", "", SEPARATORS)
+_SAME = str.maketrans({ch: ("i" if "l" in x or "i" in x else x[0]) for ch, x in LOOKALIKES.items()} | {"l": "i"} | dict.fromkeys(SEPARATORS))
 
 
 def skeleton(letters: str) -> str:
     """The same for all readings of some characters: look-alikes as one letter, runs as one, no separators."""
-    return _RUN.sub(r"\1", letters.translate(_NOTHING).translate(_SAME))
+    return _RUN.sub(r"\1", letters.translate(_SAME))
 
 
 class Scorer:
     """Finds the features in texts, given as Arrow arrays."""
 
-    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str]):
+    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str], joined: set[str] | None = None):
+        """joined: the features that are also looked for over word bounds; all of them, if not given."""
         self.decoder, self.features, self.known = Decoder(model), features, known
         self.whole = {skeleton(w) for w in features}
-        self.starts = {x[:n] for x in self.whole for n in range(1, len(x) + 1)}
-        self.seen: dict[str, tuple[int, set[str], bool]] = {}
+        self.over = {skeleton(w) for w in (features if joined is None else joined)}
+        self.starts = {x[:n] for x in self.over for n in range(1, len(x) + 1)}
+        self.seen: dict[str, tuple[int, frozenset[str], bool]] = {}
 
     def _feature(self, written: str) -> int:
         """The feature that the lattice decodes to, or -1."""
         return self.features.get(self.decoder.decode(written).strip(), -1)
 
-    def _word(self, word: str) -> tuple[int, set[str], bool]:
+    def _word(self, word: str) -> tuple[int, frozenset[str], bool]:
         """The feature that a word is, its skeletons (with and without the punctuation at its edges), and whether a feature may start with one and go on."""
         found = self.seen.get(word)
         if found is None:
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
             low = word.lower()
-            bare = _EDGES.sub("", low)
-            at = low.find(bare) if bare else len(low)
-            edges = [{"".join(ch for ch in e if ch in LOOKALIKES), ""} for e in (low[:at], low[at + len(bare) :])]
-            bodies = {skeleton(x + bare + y) for x in edges[0] for y in edges[1]}
+            if low.isalpha():
+                bare, bodies = low, frozenset((skeleton(low),))
+            else:
+                bare = _EDGES.sub("", low)
+                at = low.find(bare) if bare else len(low)
+                edges = [{"".join(ch for ch in e if ch in LOOKALIKES), ""} for e in (low[:at], low[at + len(bare) :])]
+                bodies = frozenset(skeleton(x + bare + y) for x in edges[0] for y in edges[1])
             feature = self.features.get(bare, -1)
-            if feature < 0 and bare not in self.known and not bodies.isdisjoint(self.whole):
+            if feature < 0 and not bodies.isdisjoint(self.whole) and bare not in self.known:
                 feature = self._feature(word)
-            found = self.seen[word] = (feature, bodies, not bodies.isdisjoint(self.starts))
+            begins = not bodies.isdisjoint(self.starts)
+            found = self.seen[word] = (feature, bodies, begins)
         return found
 
     def _joined(self, words: list[str], i: int) -> list[int]:
@@ -213,7 +218,7 @@ class Scorer:
             bodies = {skeleton(x + y) for x in bodies for y in self._word(words[j])[1]} & self.starts
             if not bodies:
                 break
-            if not bodies.isdisjoint(self.whole):
+            if not bodies.isdisjoint(self.over):
                 feature = self._feature(" ".join(words[i : j + 1]))
                 if feature >= 0:
                     out.append(feature)
@@ -320,11 +325,12 @@ class Toxicity:
 
     def _score(self, docs: DataFrame, model, id_col: str, text_col: str) -> DataFrame:
         features, known, weights, bias = self.vocabulary, self.known, self.weights, self.bias
+        strong = {w for w, i in features.items() if bias + weights[i] > 0}  # those that alone make a text toxic
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            scorer = Scorer(model.value, features, known)
+            scorer = Scorer(model.value, features, known, strong)
             for batch in batches:
                 total = np.full(batch.num_rows, bias)
                 if features:
