@@ -107,6 +107,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def powers(n: int, base: np.uint64 = _POW) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1

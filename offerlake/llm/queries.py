@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import ExactDedup
@@ -13,10 +14,13 @@ from .mixing import Mix
 from .ngram_join import NgramJoin
 from .packing import pack
 from .quality import RULES, QualityRules
+from .resampling import Resampling
 from .secrets import find_secrets, report
 from .substring_dedup import SubstringDedup
+from .token_files import TokenFiles
 from .toxicity import Toxicity
 from .warc import archive_pages
+from .whitening import Whitening
 
 
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(table(spark, sf_dir, "documents")).decisions
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TokenFiles.write(table(spark, sf_dir, "documents")).documents
+
+
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Whitening(table(spark, sf_dir, "embeddings")).rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).ranked.drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_mix_sources": op2_mix_sources,
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_whiten_embeddings": op12_whiten_embeddings,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _ONE_SPACE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
