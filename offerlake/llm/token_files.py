@@ -133,7 +133,7 @@ class TokenFiles:
         laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
         longs = [T.StructField(c, T.LongType()) for c in ("doc_row", "part_start", "n_tokens", "piece")]
         schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("part", T.IntegerType()), *longs, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-        options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_POSITIVES}
+        options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": stride, "orc.rows.between.memory.checks": min(stride, 5000), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_POSITIVES}
         laid.mapInArrow(_encoded(tokenizer, piece), schema).write.options(**options).orc(path)
         return cls(spark, path, piece)
 
