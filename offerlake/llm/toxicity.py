@@ -7,9 +7,10 @@ model, which is counted over every document.
 
 The restored words' presence is scored by logistic regression, trained on a bounded sample of labelled
 rows (TRAIN_ROWS, those with the lowest hashes) outside the held-out fold; its features are the words most
-associated with the label there. To score a document, only those lattices are decoded that have a path to a
-feature: a skeleton (look-alikes as one letter, runs as one, separators out) is the same for all paths of a
-lattice, so a look-up of skeletons finds them. Over word bounds those words are looked for that make a text toxic alone.
+associated with the label there. In training and in scoring alike, only those lattices are decoded that have a path
+to a feature: a skeleton (look-alikes as one letter, runs as one, separators out) is the same for all paths of a
+lattice, so a look-up of skeletons finds them. Over word bounds the look-up walks on from each word that starts a feature's
+skeleton, for all such words of a batch at once: a step is made once for each distinct pair of what was walked and the next word.
 
 Defined results: null and empty texts have no words and score the model's prior. Repeated rows score alike.
 Without labelled rows of both kinds every score is the share of toxic labels, or 0. An empty table gives no
@@ -27,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled, stage, text_chunks
+from .common import drop, sampled, stage, text_chunks
 
 TRAIN_ROWS, FEATURES, MIN_DOCS = 20_000, 400, 5
 CACHE_WORDS = 300_000
-#: Look-alikes of features that are words themselves; so few words share a skeleton that this is never met.
-KNOWN_WORDS = 10_000
+#: Written runs up to this long are remembered with what they decode to.
+CACHE_RUN = 200
 
 #: What a character may imitate.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -178,24 +179,44 @@ def skeleton(letters: str) -> str:
 class Scorer:
     """Finds the features in texts, given as Arrow arrays."""
 
-    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str], joined: set[str] | None = None):
-        """joined: the features that are also looked for over word bounds; all of them, if not given."""
+    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str]):
         self.decoder, self.features, self.known = Decoder(model), features, known
         self.whole = {skeleton(w) for w in features}
-        self.over = {skeleton(w) for w in (features if joined is None else joined)}
-        self.starts = {x[:n] for x in self.over for n in range(1, len(x) + 1)}
-        self.seen: dict[str, tuple[int, frozenset[str], bool]] = {}
+        self.starts = {x[:n] for x in self.whole for n in range(1, len(x) + 1)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, tuple[int, frozenset[str], int, bool]] = {}
+        self.decoded: dict[str, int] = {}
+        #: What was walked (the skeletons that may go on, and whether one is a feature's), by number; steps from one to the next.
+        self.walked: list[tuple[frozenset[str], bool]] = []
+        self.number: dict[frozenset[str], int] = {}
+        self.steps: dict[tuple[int, str], int] = {}
 
     def _feature(self, written: str) -> int:
         """The feature that the lattice decodes to, or -1."""
-        return self.features.get(self.decoder.decode(written).strip(), -1)
+        found = self.decoded.get(written)
+        if found is None:
+            found = self.features.get(self.decoder.decode(written).strip(), -1)
+            if len(written) <= CACHE_RUN:
+                self.decoded[written] = found
+        return found
 
-    def _word(self, word: str) -> tuple[int, frozenset[str], bool]:
-        """The feature that a word is, its skeletons (with and without the punctuation at its edges), and whether a feature may start with one and go on."""
+    def _numbered(self, bodies: frozenset[str]) -> int:
+        """The number of what was walked, -1 if no feature starts so."""
+        if not bodies:
+            return -1
+        found = self.number.get(bodies)
+        if found is None:
+            found = self.number[bodies] = len(self.walked)
+            self.walked.append((bodies, not bodies.isdisjoint(self.whole)))
+        return found
+
+    def _word(self, word: str) -> tuple[int, frozenset[str], int, bool]:
+        """The feature that a word is, its skeletons (with and without the punctuation at its edges), where a walk from it starts,
+        and whether repeating it adds nothing."""
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
             low = word.lower()
             if low.isalpha():
                 bare, bodies = low, frozenset((skeleton(low),))
@@ -207,54 +228,75 @@ class Scorer:
             feature = self.features.get(bare, -1)
             if feature < 0 and not bodies.isdisjoint(self.whole) and bare not in self.known:
                 feature = self._feature(word)
-            begins = not bodies.isdisjoint(self.starts)
-            found = self.seen[word] = (feature, bodies, begins)
+            found = self.seen[word] = (feature, bodies, self._numbered(bodies & self.starts), all(len(x) <= 1 for x in bodies))
         return found
 
-    def _joined(self, words: list[str], i: int) -> list[int]:
-        """Features that start at word i and go on over spaces."""
-        out, bodies = [], self._word(words[i])[1]
-        for j in range(i + 1, len(words)):
-            bodies = {skeleton(x + y) for x in bodies for y in self._word(words[j])[1]} & self.starts
-            if not bodies:
-                break
-            if not bodies.isdisjoint(self.over):
-                feature = self._feature(" ".join(words[i : j + 1]))
-                if feature >= 0:
-                    out.append(feature)
-        return out
+    def _step(self, walked: int, word: str) -> int:
+        found = self.steps.get((walked, word))
+        if found is None:
+            bodies = self._word(word)[1]
+            found = self.steps[walked, word] = self._numbered(frozenset({skeleton(x + y) for x in self.walked[walked][0] for y in bodies} & self.starts))
+        return found
+
+    def _joined(self, words: list[str], code: np.ndarray, owner: np.ndarray, start: np.ndarray, single: np.ndarray) -> tuple[list[int], list[int]]:
+        """Texts and features of the lattices over spaces.
+
+        A run of one short fragment is walked over as one; a feature may end with its first or its last. Where a walk comes to a
+        word as if it had started there, the later start goes: the longer run has all its readings.
+        """
+        again = np.zeros(len(code), bool)
+        again[1:] = single[code[1:]] & (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
+        kept = np.flatnonzero(~again)
+        last = np.append(kept[1:], len(code)) - 1
+        code_at, owner_at = code[kept], owner[kept]
+        first = start[code_at]
+        at = np.flatnonzero(first >= 0)
+        begin, walked = at, first[at]
+        texts: list[int] = []
+        found: list[int] = []
+        while len(at):
+            inside = at + 1 < len(kept)
+            begin, at, walked = begin[inside], at[inside] + 1, walked[inside]
+            inside = owner_at[at] == owner_at[begin]
+            begin, at, walked = begin[inside], at[inside], walked[inside]
+            pairs, where = np.unique(walked * len(words) + code_at[at], return_inverse=True)
+            walked = np.array([self._step(int(p) // len(words), words[int(p) % len(words)]) for p in pairs], np.int64)[where]
+            on = walked >= 0
+            begin, at, walked = begin[on], at[on], walked[on]
+            covered = np.unique(at[first[at] == walked])
+            if len(covered):
+                on = ~np.isin(begin, covered)
+                begin, at, walked = begin[on], at[on], walked[on]
+            ends = [self.walked[w][1] for w in walked.tolist()]
+            for i in np.flatnonzero(np.array(ends, bool)):
+                low = kept[begin[i]]
+                for high in {int(kept[at[i]]), int(last[at[i]])}:
+                    feature = self._feature(" ".join([words[c] for c in code[low : high + 1]]).lower())
+                    if feature >= 0:
+                        texts.append(int(owner_at[at[i]]))
+                        found.append(feature)
+        return texts, found
 
     def find(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The distinct features of each text, as pairs of text and feature, in order."""
         import pyarrow.compute as pc
 
+        if max(len(self.seen), len(self.decoded), len(self.steps)) > CACHE_WORDS:
+            self._forget()
         split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
-        first = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
         told = [self._word(w) for w in words]
-        code = coded.indices.to_numpy()
-        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        code = coded.indices.to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         feature = np.fromiter((t[0] for t in told), np.int64, len(told))[code]
         hit = np.flatnonzero(feature >= 0)
-        pairs = [owner[hit] * len(self.features) + feature[hit]]
-        starts = np.fromiter((t[2] for t in told), bool, len(told))[code]
-        same = np.zeros(len(code), bool)  # of a run of one fragment, the first starts
-        same[1:] = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
-        begins = np.flatnonzero(starts & ~same)
-        # Most fragments are whole words: what follows must go on with a feature.
-        for text, own in zip(*_runs(owner[begins], begins), strict=True):
-            written = [words[c] for c in code[first[text] : first[text + 1]]]
-            for i in own - first[text]:
-                pairs.append(np.array(self._joined(written, int(i)), np.int64) + text * len(self.features))
-        both = np.unique(np.concatenate(pairs)).astype(np.int64)
-        return both // max(1, len(self.features)), both % max(1, len(self.features))
-
-
-def _runs(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The owners, in order, and the values of each."""
-    owners, at = np.unique(owner, return_index=True)
-    return owners, np.split(values, at[1:]) if len(owners) else []
+        start = np.fromiter((t[2] for t in told), np.int64, len(told))
+        single = np.fromiter((t[3] for t in told), bool, len(told))
+        text, over = self._joined(words, code, owner, start, single)
+        n = max(1, len(self.features))
+        both = np.unique(np.concatenate([owner[hit] * n + feature[hit], np.array(text, np.int64) * n + np.array(over, np.int64)]))
+        return both // n, both % n
 
 
 def fold(id_col: Column) -> Column:
@@ -268,7 +310,7 @@ def _restored(model):
         restorer = Restorer(model.value)
         for batch in batches:
             words = [sorted({w for w in restorer.words(t or "") if w}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["label", "text", "words"])
 
     return run
 
@@ -302,7 +344,7 @@ class Toxicity:
         known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
         chosen = sampled(known.groupBy("doc_id").agg(F.max("toxic").alias("label")), TRAIN_ROWS, "doc_id")
         sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-        train = stage(sample.mapInArrow(_restored(model), "label int, words array<string>"), "toxic-train")
+        train = stage(sample.mapInArrow(_restored(model), "label int, text string, words array<string>"), "toxic-train")
         totals = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
         good, bad = totals.get(0, 0), totals.get(1, 0)
         self.vocabulary: dict[str, int] = {}
@@ -312,25 +354,40 @@ class Toxicity:
             odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
             top = counts.withColumn("gain", F.col("bad") * odds).where("gain > 0").orderBy(F.desc("gain"), "word").limit(FEATURES).collect()
             self.vocabulary = {r.word: i for i, r in enumerate(top)}
-            names = F.array(*[F.lit(w) for w in self.vocabulary]) if top else F.array().cast("array<string>")
-            rows = [(r.label, [self.vocabulary[w] for w in r.words]) for r in train.select("label", F.array_intersect("words", names).alias("words")).collect()]  # TRAIN_ROWS at most
-            self.weights, self.bias = fit(rows, len(self.vocabulary))
-        #: Words of the sample that have a feature's skeleton and are none.
+        #: Words of the sample, in MIN_DOCS of its rows, that have a feature's skeleton and are none.
         self.known: set[str] = set()
         if self.vocabulary:
             same = F.regexp_replace(F.translate("word", "l", "i"), r"(.)\1+", "$1")
-            plain = counts.where(F.col("word").rlike(r"^\p{L}+$") & same.isin(*{skeleton(w) for w in self.vocabulary})).select("word").limit(KNOWN_WORDS)
+            plain = counts.where(F.col("word").rlike(r"^\p{L}+$") & same.isin(*{skeleton(w) for w in self.vocabulary})).select("word")
             self.known = {r.word for r in plain.collect()} - self.vocabulary.keys()
+            found = train.select("label", "text").mapInArrow(self._found(model), "label int, features array<int>")
+            self.weights, self.bias = fit([(r.label, r.features) for r in found.collect()], len(self.vocabulary))  # TRAIN_ROWS at most
+        drop(train)
         self.scored = self._score(docs, model, id_col, text_col)
 
+    def _found(self, model):
+        """The features of the sample's texts, found as in scoring."""
+        features, known = self.vocabulary, self.known
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            scorer = Scorer(model.value, features, known)
+            for batch in batches:
+                for a, b, texts in text_chunks(batch.column(1), TEXT_BYTES, lambda c: c):
+                    text, feature = scorer.find(texts)
+                    own = [x.tolist() for x in np.split(feature, np.searchsorted(text, np.arange(1, b - a)))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.list_(pa.int32()))], names=["label", "features"])
+
+        return run
+
     def _score(self, docs: DataFrame, model, id_col: str, text_col: str) -> DataFrame:
         features, known, weights, bias = self.vocabulary, self.known, self.weights, self.bias
-        strong = {w for w, i in features.items() if bias + weights[i] > 0}  # those that alone make a text toxic
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            scorer = Scorer(model.value, features, known, strong)
+            scorer = Scorer(model.value, features, known)
             for batch in batches:
                 total = np.full(batch.num_rows, bias)
                 if features:
