@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,16 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, *[(F.coalesce(f"new_{c}", f"old_{c}") if c in new.columns else F.col(f"old_{c}")).alias(c) for c in values])
 
 
+def patched(old: DataFrame, patch: DataFrame, keys: list[str], now: Column, stamp: str = "updated_at") -> DataFrame:
+    """Rows of a table with the known values of a partial patch, and the time of the change where there is one. Keys that
+    are not there make nothing."""
+    values = [c for c in patch.columns if c not in keys]
+    new = patch.select(*keys, *[F.col(c).alias(f"new_{c}") for c in values], F.lit(True).alias("_hit"))
+    joined = old.join(new, keys, "left")
+    told = {c: F.coalesce(f"new_{c}", c) for c in values} | {stamp: F.when(F.col("_hit"), now).otherwise(F.col(stamp))}
+    return joined.select(*[told.get(c, F.col(c)).alias(c) for c in old.columns])
+
+
 def importable(payload: DataFrame, products: DataFrame, saved: DataFrame) -> DataFrame:
     """(user_id, product_id) pairs of a payload that exist and that the user hasn't saved yet, once each."""
     known = products.select(F.col("id").alias("product_id"))

@@ -47,12 +47,20 @@ def upserted_memberships(members: DataFrame, items: DataFrame, batch: str) -> Da
     return old.unionByName(new)
 
 
-def missed_memberships(members: DataFrame, batch: str, sources: DataFrame) -> DataFrame:
-    """Active members of the run's sources that it didn't see miss once more and go at MISSES; one never in a batch is let be."""
+def with_misses(members: DataFrame, batch: str, sources: DataFrame) -> DataFrame:
+    """Active members of the run's sources that it didn't see miss once more and go at MISSES; one never in a batch is let be.
+    ``left`` says which go in this run."""
     ran = sources.select("source_id").distinct().withColumn("_ran", F.lit(True))
-    joined = members.join(ran, "source_id", "left")
     gone = F.coalesce(F.col("_ran") & F.col("is_active") & (F.col("last_batch") != batch), F.lit(False))
-    return joined.select("id", "source_id", F.when(gone, F.col("missed") + 1 < MISSES).otherwise(F.col("is_active")).alias("is_active"), F.when(gone, F.col("missed") + 1).otherwise(F.col("missed")).alias("missed"))
+    joined = members.join(ran, "source_id", "left").withColumn("_gone", gone)
+    joined = joined.withColumn("left", F.col("_gone") & (F.col("missed") + 1 >= MISSES))
+    missed = F.when(F.col("_gone"), F.col("missed") + 1).otherwise(F.col("missed"))
+    return joined.withColumn("is_active", F.col("is_active") & ~F.col("left")).withColumn("missed", missed).drop("_ran", "_gone")
+
+
+def missed_memberships(members: DataFrame, batch: str, sources: DataFrame) -> DataFrame:
+    """The states of ``with_misses``."""
+    return with_misses(members, batch, sources).select("id", "source_id", "is_active", "missed")
 
 
 def known_items(items: DataFrame, processed: DataFrame) -> DataFrame:
@@ -90,8 +98,9 @@ def refreshed_offers(offers: DataFrame, items: DataFrame, processed: DataFrame)
     return offers.join(last, "external_id", "left").select("id", F.coalesce("_free", "free_shipping").alias("free_shipping"), (~F.coalesce("_free", "free_shipping").eqNullSafe(F.col("free_shipping"))).alias("changed"))
 
 
-def routed(items: DataFrame, triage: DataFrame, publish_all: bool = False) -> DataFrame:
-    """Untriaged items (by hash and by external id), the first of each hash, with what becomes of them: published or pending."""
+def routed(items: DataFrame, triage: DataFrame, publish_all: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Untriaged items (by hash and by external id), the first of each hash, with what becomes of them: published or pending.
+    Columns of the items may be carried, then with ``brand_detected``."""
     seen_hash, seen_id = triage.select("content_hash").distinct(), triage.where("external_id is not null").select("external_id").distinct()
     fresh = items.join(seen_hash, "content_hash", "left_anti").join(seen_id, "external_id", "left_anti")
     fresh = first_rows_by(fresh, ["content_hash"], ["position", "item_id"])
@@ -104,6 +113,7 @@ def routed(items: DataFrame, triage: DataFrame, publish_all: bool = False) -> Da
         "content_hash", "item_id", F.when(passes, "published").otherwise("pending").alias("route"), decision.alias("decision"), F.array_join(issues, ",").alias("issues"), "confidence",
         F.when(F.col("discount") >= 20, 1).otherwise(0).alias("priority"), F.when(passes, X.published_slug(title, F.col("content_hash"))).alias("slug"),
         F.when(passes, X.slug(T.brand_of(title, F.col("brand")))).alias("brand_slug"), F.when(passes, T.attribute(title, "category")).alias("category_slug"),
+        *([F.get("_brands", F.lit(0)).alias("brand_detected"), *carry] if carry else []),
     )
 
 

@@ -9,7 +9,6 @@ from ..functions import text as X
 from ..functions.titles import RULES
 from ..operators import documents as D
 from ..operators import facets as A
-from ..operators import maintenance as H
 from ..operators import scoring as G
 from ..registry import query
 from ..streaming import snapshots as S
@@ -237,12 +236,3 @@ def valid_snapshots(v):
 @query("stream_snapshot_upsert", "SELECT source_id, external_item_id, min(batch_no) AS first_batch, max(batch_no) AS last_batch, count(*) AS times FROM v_observations GROUP BY ALL")
 def stream_snapshot_upsert(v):
     return S.merged_state(S.snapshot_stream(v.v_observations), ["source_id", "external_item_id"])
-
-
-@query("stream_membership_state", """
-    WITH l AS (SELECT source_id, external_item_id, max(batch_no) AS last_batch FROM v_observations GROUP BY ALL),
-    g AS (SELECT l.*, (SELECT count(*) FROM v_batches b WHERE b.source_id = l.source_id AND b.batch_no > l.last_batch AND b.status = 'completed' AND b.total_collected >= 50) AS gap FROM l)
-    SELECT source_id, external_item_id, last_batch, CAST(least(gap, 2) AS INT) AS missed, gap < 2 AS is_active FROM g""")
-def stream_membership_state(v):
-    state = S.merged_state(S.snapshot_stream(v.v_observations), ["source_id", "external_item_id"])
-    return H.presence(state.select("source_id", "external_item_id", F.col("last_batch").alias("batch_no")), v.v_batches, least_items=50)

@@ -159,8 +159,8 @@ _TRUSTED = ", ".join(["CASE WHEN regexp_matches(title || ' ' || coalesce(brand,
 _ROUTED = f"""
     t AS (SELECT * FROM v_triage WHERE status = 'rejected'),
     f AS (SELECT DISTINCT ON (content_hash) * FROM v_items i WHERE content_hash NOT IN (SELECT content_hash FROM t) AND (external_id IS NULL OR external_id NOT IN (SELECT external_id FROM t WHERE external_id IS NOT NULL)) ORDER BY content_hash, position, item_id),
-    b AS (SELECT *, list_distinct([x FOR x IN [{_TRUSTED}] IF x IS NOT NULL]) AS n_brands, [x FOR x IN [{_TRUSTED}] IF x IS NOT NULL][1] AS named, {normal_sql('title')} AS plain FROM f),
-    c AS (SELECT *, CAST(CASE WHEN len(n_brands) = 0 THEN 0.0 WHEN len(n_brands) > 1 THEN 0.3 WHEN starts_with(plain, named) THEN 0.9 WHEN contains(plain, named) THEN 0.82 ELSE 0.7 END AS DOUBLE) AS confidence,
+    b AS (SELECT *, list_distinct([x FOR x IN [{_TRUSTED}] IF x IS NOT NULL]) AS n_brands, [x FOR x IN [{_TRUSTED}] IF x IS NOT NULL][1] AS named, {normal_sql('title')} AS plain, coalesce({normal_sql('brand')}, '') AS plain_brand FROM f),
+    c AS (SELECT *, CAST(CASE WHEN len(n_brands) = 0 THEN 0.0 WHEN len(n_brands) > 1 THEN 0.3 WHEN plain_brand IN ({", ".join(repr(b) for b in T.TRUSTED_BRANDS)}) THEN 0.95 WHEN contains(plain_brand, named) THEN 0.92 WHEN starts_with(plain, named) THEN 0.9 WHEN contains(plain, named) THEN 0.82 ELSE 0.7 END AS DOUBLE) AS confidence,
           array_to_string([x FOR x IN [CASE WHEN length(trim(title)) < 10 THEN 'title_too_short' END, CASE WHEN image IS NULL THEN 'missing_image' END, CASE WHEN price <= 0 THEN 'invalid_price' END, CASE WHEN discount NOT BETWEEN 0 AND 90 THEN 'discount_out_of_range' END] IF x IS NOT NULL], ',') AS issues FROM b),
     d AS (SELECT *, CASE WHEN len(n_brands) = 0 THEN 'brand_not_in_whitelist' WHEN confidence < 0.85 THEN 'confidence_below_threshold' WHEN issues <> '' THEN 'incomplete_card' ELSE 'auto_approved' END AS decision FROM c),
     routed AS (SELECT *, decision = 'auto_approved' AND coalesce(discount, 0) >= 30 AS passes FROM d)"""

@@ -210,6 +210,15 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_discount <> 0 THEN CAST(floor(l_discount * 1000 + 0.5) AS int) END AS discount, l_returnflag = 'N' AS free_shipping,
                CASE WHEN l_linenumber % 3 = 0 THEN 'lightning' ELSE 'general' END AS promotion_type, 'https://shop.example.test/p/' || CAST(l_partkey AS string) AS url, l_orderkey AS position
         FROM {{lineitem}} JOIN {{v_products}} p ON p.id = l_partkey WHERE l_linestatus = 'O'""",
+    # The same items, half of them under a title that starts with a brand.
+    "v_fresh_items": """
+        SELECT item_id, source_id, external_id, product_id, CASE product_id % 4 WHEN 0 THEN 'Nike Revolution ' || CAST(product_id AS string) WHEN 1 THEN 'Olympikus Corre ' || CAST(product_id AS string) ELSE title END AS title,
+               CASE product_id % 4 WHEN 0 THEN 'Nike' WHEN 1 THEN 'Olympikus' ELSE brand END AS brand, image, content_hash, price, original_price, discount, free_shipping, promotion_type, url, position
+        FROM {v_items}""",
+    # These over three runs; most come in one of them, so that others miss them.
+    "v_run_items": """
+        SELECT item_id, source_id, external_id, title, brand, image, content_hash, CASE WHEN position % 41 <> 0 THEN price END AS price, original_price, discount, free_shipping, promotion_type, url, position, CAST(position % 3 AS int) + 1 AS run_no
+        FROM {v_fresh_items}""",
     "v_members": """
         SELECT id, source_id, external_item_id, content_hash, raw_title, is_active, CASE WHEN source_id % 6 <> 0 THEN 'b1' END AS last_batch, CAST(length(content_hash) % 2 AS int) AS missed FROM {v_memberships}""",
     # Brand stores: an embedded state, cards of one kind of markup, or a broken state and cards of another kind.
