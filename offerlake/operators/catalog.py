@@ -113,3 +113,8 @@ def product_detail(products: DataFrame, offers: DataFrame, ids: Sequence[int] |
 def labels_brl(price: Column) -> Column:
     """R$ 1234,56; a dash for none."""
     return F.when(price.isNull(), "-").otherwise(F.concat(F.lit("R$ "), F.translate(price.cast("decimal(12,2)").cast("string"), ".", ",")))
+
+
+def localized_brl(price: Column) -> Column:
+    """R$ 1.234,56; a dash for none."""
+    return F.when(price.isNull(), "-").otherwise(F.concat(F.lit("R$ "), F.translate(F.format_number(price.cast("decimal(12,2)"), 2), ",.", ".,")))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import offers as O
 from ..functions import titles as T
-from ..functions.text import slug
+from ..functions.text import search_text, slug
 
+# The dimensions.
 DIMENSIONS = ("marca", "cor", "desconto", "frete", "tamanho", "genero", "idade", "modalidade", "tipo", "avaliacao")
 #: Dimensions of which every label has a count, and these labels.
 FIXED = {"desconto": [x[0] for x in O.DISCOUNTS], "avaliacao": [x[0] for x in O.RATINGS], "frete": ["Sim", "Não"]}
@@ -71,3 +72,46 @@ def facet_counts(faceted: DataFrame, filters: Mapping[str, Sequence[str]] | None
     )
     counted = rows.unionByName(zeros).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
     return counted.unionByName(prices.select(F.explode(bounds).alias("x")).select("x.*"))
+
+
+def color_labels(names: DataFrame) -> DataFrame:
+    """value, label of the colours that names show."""
+    label = T.color_label(F.col("name"))
+    return names.select(slug(label).alias("value"), label.alias("label")).where("value is not null").groupBy("value").agg(F.min("label").alias("label"))
+
+
+def with_places(counts: DataFrame, labels: DataFrame, fixed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """dimension, value, label, n, place: fixed orders where there are such, sizes as numbers, all else by count.
+
+    Equal counts stand by their labels in Portuguese order, so accents and case part words last. A dimension's labels
+    are few, so its window is small.
+    """
+    known = labels.select(F.lit("cor").alias("dimension"), "value", "label")
+    rows = counts.where(F.col("dimension").isin(*DIMENSIONS)).join(F.broadcast(known), ["dimension", "value"], "left").withColumn("label", F.coalesce("label", "value"))
+    place = F
+    for dimension, values in fixed.items():
+        for i, value in enumerate(values):
+            place = place.when((F.col("dimension") == dimension) & (F.col("value") == value), i)
+    sized = F.col("dimension") == "tamanho"
+    order = [place.otherwise(None), F.when(sized, F.col("value").try_cast("double")), F.when(~sized, -F.col("n")), F.collate("label", "pt_CI_AI"), F.collate("label", "pt"), F.col("value")]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("dimension").orderBy(*order)).cast("long"))
+
+
+def brand_key(label: Column, aliases: Mapping[str, str]) -> Column:
+    """What names of one brand share: no accents, case or outer spaces; a misspelling stands for the right name."""
+    key = F.trim(search_text(label))
+    for wrong, right in aliases.items():
+        key = F.when(key == wrong, right).otherwise(key)
+    return key
+
+
+def pinned(counts: DataFrame, names: Sequence[str], aliases: Mapping[str, str], search: str = "") -> DataFrame:
+    """label, n, pin: the pinned brands first (a pin's commonest label; none is 0), then the others by count, those whose names hold a search."""
+    spark = counts.sparkSession
+    pins = spark.createDataFrame([(name, i) for i, name in enumerate(names)], "name string, pin int").withColumn("key", brand_key(F.col("name"), aliases))
+    keyed = counts.withColumn("key", brand_key(F.col("label"), aliases))
+    best = keyed.join(F.broadcast(pins.select("key", "pin")), "key").withColumn("_nth", F.row_number().over(Window.partitionBy("pin").orderBy(F.desc("n"), "label"))).where("_nth = 1").select("pin", "label", "n")
+    first = pins.join(best, "pin", "left").select(F.coalesce("label", "name").alias("label"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "pin")
+    rest = keyed.join(F.broadcast(pins.select("key")), "key", "left_anti").select("label", "n", F.lit(None).cast("int").alias("pin"))
+    found = first.unionByName(rest).where(F.contains(F.trim(search_text(F.col("label"))), F.trim(search_text(F.lit(search)))))
+    return found.orderBy(F.col("pin").asc_nulls_last(), F.desc("n"), "label")

@@ -166,3 +166,19 @@ def violations(rows: DataFrame, rules: dict[str, Column], row_id: str = "id") ->
     """A row per broken rule."""
     broken = F.array_compact(F.array(*[F.when(~holds, name) for name, holds in rules.items()]))
     return rows.select(F.col(row_id).cast("string").alias("row_id"), F.explode(broken).alias("rule"))
+
+
+# Limits and names that a source's columns keep to.
+NAME_LENGTH, NOTES_LENGTH = 200, 5000
+STATUSES = ("active", "inactive", "ended")
+SOURCE_TYPES = ("promotion", "brand", "category", "outlet", "campaign", "other")
+
+
+def source_rules() -> dict[str, Column]:
+    """The rules of a source's row; ``_market`` tells that its marketplace is there. Null dates and notes break none."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    return {
+        "name_length": known(F.length(F.trim("name")).between(1, NAME_LENGTH)), "url_pattern": known(F.col("url").rlike(r"(?i)^https?://\S+$")), "priority_negative": known(F.col("priority") >= 0),
+        "ends_before_start": F.coalesce(F.col("ends_at") >= F.col("starts_at"), F.lit(True)), "notes_length": F.coalesce(F.length(F.trim("notes")) <= NOTES_LENGTH, F.lit(True)),
+        "status_value": known(F.col("status").isin(*STATUSES)), "source_type_value": known(F.col("source_type").isin(*SOURCE_TYPES)), "unknown_marketplace": F.col("_market").isNotNull(),
+    }

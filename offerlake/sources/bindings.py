@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 #: Titles that products cycle through; each shows one behaviour of the title rules.
 TITLES = (
@@ -168,7 +168,9 @@ VIEWS: dict[str, str] = {
     "v_favorites": """
         SELECT o_custkey AS user_id, l_partkey AS product_id, min(o_orderdate) AS created_at
         FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
-    "v_clicks": "SELECT event_id AS id, user_id AS offer_key, ts AS clicked_at FROM {events} WHERE event_type = 'click'",
+    "v_clicks": """
+        SELECT event_id AS id, user_id AS offer_key, ts AS clicked_at, CASE WHEN event_id % 4 <> 0 THEN 'https://www.example.test/p/' || CAST(user_id AS string) END AS referrer,
+               CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' END AS agent FROM {events} WHERE event_type = 'click'""",
     "v_searches": """
         SELECT event_id AS id, user_id AS session_id, ts AS searched_at, 'q' || CAST(@json_int(props, k) AS string) AS query, CAST(@json_int(props, k) AS int) AS k
         FROM {events} WHERE event_type = 'view'""",
