@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import ExactDedup
 from .line_dedup import LineDedup
-from .mixing import Mix
+from .mixing import CURRICULUM, Mix
 from .ngram_join import NgramJoin
 from .packing import pack
 from .quality import RULES, QualityRules
@@ -28,7 +28,7 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).schedule
+    return Mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).schedule.drop("positions").withColumn("position", F.round("position", 9))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,15 @@ _ONE_SPACE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _position_sql() -> str:
+    """The time at which ``done`` of a source's demand is met, by the two halves of its weight schedule: where the integral of a
+    straight line from a to b over half the time reaches x, t = 2x / (a + sqrt(a^2 + 4 (b - a) x))."""
+    half = lambda a, b, x: f"2 * {x} / ({a} + sqrt(greatest({a} * {a} + 4 * ({b} - {a}) * {x}, 0)))"
+    whole = lambda a, b, c: f"CASE WHEN done * ({a} + 2 * {b} + {c}) / 4 < ({a} + {b}) / 4 THEN least(0.5, {half(a, b, f'(done * ({a} + 2 * {b} + {c}) / 4)')}) ELSE least(1.0, 0.5 + {half(b, c, f'greatest(done * ({a} + 2 * {b} + {c}) / 4 - ({a} + {b}) / 4, 0)')}) END"
+    return "CASE rk % 3 " + " ".join(f"WHEN {i} THEN {whole(*[f'{float(x)}::DOUBLE' for x in knots])}" for i, knots in enumerate(CURRICULUM)) + " END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archives": """
         WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
@@ -115,11 +124,14 @@ ORACLE_SQL: dict[str, str] = {
                      / sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
               FROM w WINDOW q AS (ORDER BY most / weight, source NULLS LAST)),
         f AS (SELECT min(pos) AS free FROM o WHERE level * weight <= most),
-        t AS (SELECT source, source_size, CASE WHEN pos >= free THEN (SELECT level FROM o, f WHERE pos = free) * weight ELSE most END AS target FROM o, f),
-        l AS (SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS whole, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs,
+        t AS (SELECT source, source_size, rk, CASE WHEN pos >= free THEN (SELECT level FROM o, f WHERE pos = free) * weight ELSE most END AS target FROM o, f),
+        l AS (SELECT doc_id, size, source_size, target, rk, floor(target)::BIGINT AS whole, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs,
                      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY m, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, (size * epochs + greatest(0, least(size, whole - epochs * source_size - start)))::BIGINT AS taken FROM l""",
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        g AS (SELECT *, greatest(0, least(size, whole - epochs * source_size - start))::BIGINT AS rest FROM l),
+        h AS (SELECT *, CASE WHEN epochs > 0 THEN size ELSE rest END AS words FROM g),
+        p AS (SELECT *, (start + words / 2) / target AS done FROM h)
+        SELECT doc_id, size, source_size, target, (size * epochs + rest)::BIGINT AS taken, CASE WHEN words > 0 THEN round({_position_sql()}, 9) END AS position FROM p""",
     "op9_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n FROM d),
