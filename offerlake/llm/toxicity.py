@@ -7,7 +7,8 @@ model, which is counted over every document.
 
 The restored words' presence is scored by logistic regression, trained on a bounded sample of labelled
 rows (TRAIN_ROWS, those with the lowest hashes) outside the held-out fold; its features are the words most
-associated with the label there. In training and in scoring alike, only those lattices are decoded that have a path
+associated with the label there, and the stems that at least two different words of a text start with, since insults are
+inflected and each form is rare. In training and in scoring alike, only those lattices are decoded that have a path
 to a feature: a skeleton (look-alikes as one letter, runs as one, separators out) is the same for all paths of a
 lattice, so a look-up of skeletons finds them. Over word bounds the look-up walks on from each word that starts a feature's
 skeleton, for all such words of a batch at once: a step is made once for each distinct pair of what was walked and the next word.
@@ -28,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, sampled, stage, text_chunks
+from .common import drop, mix, powers, sampled, stage, text_chunks
 
 TRAIN_ROWS, FEATURES, MIN_DOCS = 20_000, 400, 5
+#: Stems among the features, their lengths, and how many different words of a text must start with one.
+STEMS, STEM_LENGTHS, STEM_WORDS = 100, range(4, 9), 2
 CACHE_WORDS = 300_000
 #: Written runs up to this long are remembered with what they decode to.
 CACHE_RUN = 200
@@ -40,6 +43,8 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 SEPARATORS = ".-_*~'`^,:;#"
 #: Log probabilities of the channel: of a look-alike, of a separator, of punctuation at an edge, of a repeated letter, of a space that is none.
 IMITATED, DROPPED, EDGE, REPEATED, JOINED, ODD = -0.7, -0.2, -0.1, -0.3, -1.0, -8.0
+#: Between single characters, words are spelt out: a space is most likely none, and one that is a space is rare.
+SPELT_JOINED, SPELT_BOUND = -0.1, -1.5
 #: Single characters in a row that may be a word spelt out.
 SPELT = 3
 #: Bytes of text, about, that are scored at once.
@@ -95,11 +100,12 @@ class Decoder:
     @staticmethod
     def lattice(written: str) -> list[list[tuple[str, float]]]:
         """What each character may stand for ("" is nothing), with the channel's log probability."""
-        out = []
+        out, before = [], 0
         for word in written.lower().split(" "):
-            if out:
-                out.append([(" ", 0.0), ("", JOINED)])
             bare = _EDGES.sub("", word)
+            if out:
+                out.append([(" ", SPELT_BOUND), ("", SPELT_JOINED)] if before <= 1 and len(bare) <= 1 else [(" ", 0.0), ("", JOINED)])
+            before = len(bare)
             first = word.find(bare) if bare else len(word)
             for i, ch in enumerate(word):
                 options = [(ch, 0.0)] if ch.isalpha() else []
@@ -176,13 +182,77 @@ def skeleton(letters: str) -> str:
     return _RUN.sub(r"\1", letters.translate(_SAME))
 
 
-class Scorer:
-    """Finds the features in texts, given as Arrow arrays."""
+#: Code points below this are told in numpy; words with others are always looked at one by one.
+_NEAR = 0x3000
+_IN_WORD = np.array([chr(c).isalnum() or c == 95 for c in range(_NEAR)])
+_SKELETON = np.arange(_NEAR, dtype=np.uint32)
+for _code, _char in _SAME.items():
+    if _code < _NEAR:
+        _SKELETON[_code] = ord(_char) if _char else 0
+#: Characters that may stand for a letter at a word's edge, or be nothing there.
+_EITHER = np.zeros(_NEAR, bool)
+_EITHER[[ord(ch) for ch in LOOKALIKES if not ch.isalnum() and ord(ch) < _NEAR]] = True
+
+
+def skeleton_hashes(words: list[str], lengths: list[int] | tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """A hash of each word's skeleton without the punctuation at its edges; which words must be looked at one by one: those that
+    have several skeletons, an empty one or far characters; and, for each length, hashes of the first characters of skeletons that long."""
+    if not words:
+        none = np.zeros(0, np.uint64)
+        return none, none.astype(bool), dict.fromkeys(lengths, none)
+    codes = np.frombuffer("\n".join([*words, ""]).lower().encode("utf-32-le"), np.uint32)
+    end = np.flatnonzero(codes == 10)
+    start = np.append(0, end[:-1] + 1)
+    far = codes >= _NEAR
+    near = np.where(far, 0, codes)
+    inside = _IN_WORD[near]
+    place = np.arange(len(codes))
+    owner = np.searchsorted(end, place)
+    first = np.minimum.reduceat(np.where(inside, place, len(codes)), start)
+    last = np.maximum.reduceat(np.where(inside, place, -1), start)
+    odd = np.logical_or.reduceat(far | _EITHER[near], start) | (last < 0) | (end == start)
+    mapped = _SKELETON[near]
+    kept = np.flatnonzero((place >= first[owner]) & (place <= last[owner]) & (mapped != 0))
+    if len(kept):
+        again = np.zeros(len(kept), bool)
+        again[1:] = (mapped[kept[1:]] == mapped[kept[:-1]]) & (owner[kept[1:]] == owner[kept[:-1]])
+        kept = kept[~again]
+    hashes, heads = np.zeros(len(words), np.uint64), {k: np.zeros(len(words), np.uint64) for k in lengths}
+    if len(kept):
+        own = owner[kept]
+        head = np.flatnonzero(np.diff(own, prepend=-1))
+        size = np.diff(np.append(head, len(own)))
+        offset = np.arange(len(own)) - np.repeat(head, size)
+        terms = mix(mapped[kept].astype(np.uint64)) * powers(int(size.max()))[offset]
+        hashes[own[head]] = np.add.reduceat(terms, head)
+        running = np.cumsum(terms)  # sums wrap, and their differences are right
+        before = running[head] - terms[head]
+        for k in lengths:
+            long = size >= k
+            heads[k][own[head[long]]] = running[head[long] + k - 1] - before[long]
+    return hashes, odd, heads
+
 
-    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str]):
-        self.decoder, self.features, self.known = Decoder(model), features, known
+class Scorer:
+    """Finds the features in texts, given as Arrow arrays.
+
+    Only words whose skeleton is part of a feature's can be one, start one or go on with one, so all others are passed
+    over by a look-up of hashes, a batch at a time.
+    """
+
+    def __init__(self, model: np.ndarray, features: dict[str, int], known: set[str], stems: dict[str, int] | None = None):
+        """features and stems: to numbers that go on from one to the other."""
+        self.decoder, self.features, self.known, self.stems = Decoder(model), features, known, stems or {}
+        self.n = max(1, len(self.features) + len(self.stems))
+        #: How often a letter stands in a run is a guess of the decoder: what differs in that alone is one feature, the one with more gain.
+        self.collapsed: dict[str, int] = {}
+        for word, i in features.items():
+            self.collapsed.setdefault(_RUN.sub(r"\1", word), i)
+        self.heads = {len(x): np.unique(skeleton_hashes([y for y in map(skeleton, self.stems) if len(y) == len(x)])[0]) for x in map(skeleton, self.stems)}
         self.whole = {skeleton(w) for w in features}
         self.starts = {x[:n] for x in self.whole for n in range(1, len(x) + 1)}
+        parts = {x[i:j] for x in self.whole for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        self.parts = np.unique(skeleton_hashes(sorted(parts))[0])
         self._forget()
 
     def _forget(self) -> None:
@@ -192,12 +262,15 @@ class Scorer:
         self.walked: list[tuple[frozenset[str], bool]] = []
         self.number: dict[frozenset[str], int] = {}
         self.steps: dict[tuple[int, str], int] = {}
+        #: Restored words, by number, and the stems that each starts with.
+        self.restored: dict[str, tuple[str, list[int]]] = {}
 
     def _feature(self, written: str) -> int:
         """The feature that the lattice decodes to, or -1."""
         found = self.decoded.get(written)
         if found is None:
-            found = self.features.get(self.decoder.decode(written).strip(), -1)
+            plain = self.decoder.decode(written).strip()
+            found = self.features.get(plain, self.collapsed.get(_RUN.sub(r"\1", plain), -1))
             if len(written) <= CACHE_RUN:
                 self.decoded[written] = found
         return found
@@ -238,7 +311,40 @@ class Scorer:
             found = self.steps[walked, word] = self._numbered(frozenset({skeleton(x + y) for x in self.walked[walked][0] for y in bodies} & self.starts))
         return found
 
-    def _joined(self, words: list[str], code: np.ndarray, owner: np.ndarray, start: np.ndarray, single: np.ndarray) -> tuple[list[int], list[int]]:
+    def _partial(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words that may be part of a feature, and those that may start with a stem."""
+        hashes, odd, heads = skeleton_hashes(words, sorted(self.heads))
+        stemmed = odd.copy() if self.stems else np.zeros(len(words), bool)
+        for length, own in heads.items():
+            stemmed |= np.isin(own, self.heads[length])
+        return np.flatnonzero(odd | np.isin(hashes, self.parts)), np.flatnonzero(stemmed)
+
+    def _stems(self, word: str) -> tuple[str, list[int]]:
+        """The restored word and the stems that it starts with."""
+        found = self.restored.get(word)
+        if found is None:
+            bare = _EDGES.sub("", word).lower()
+            if looks_obfuscated(bare):
+                bare = self.decoder.decode(word).strip()
+            found = self.restored[word] = (bare, [self.stems[bare[:k]] for k in STEM_LENGTHS if bare[:k] in self.stems and len(bare) >= k])
+        return found
+
+    def _stemmed(self, words: list[str], near: np.ndarray, code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and stems that enough different words of a text start with."""
+        place: dict[str, int] = {}
+        pairs = [(int(i), place.setdefault(bare, len(place)), stem) for i in near for bare, stems in (self._stems(words[i]),) for stem in stems]
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word, bare, stem = np.array(pairs, np.int64).T  # in order of words
+        first = np.searchsorted(word, np.arange(len(words) + 1))
+        hit = np.flatnonzero(first[code + 1] > first[code])
+        count = (first[1:] - first[:-1])[code[hit]]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[code[hit]], count)
+        told = np.unique(np.stack([np.repeat(owner[hit], count), stem[at], bare[at]], axis=1), axis=0)
+        both, n = np.unique(told[:, :2], axis=0, return_counts=True)
+        return both[n >= STEM_WORDS].T
+
+    def _joined(self, words: list[str], code: np.ndarray, owner: np.ndarray, start: np.ndarray, single: np.ndarray, partial: np.ndarray) -> tuple[list[int], list[int]]:
         """Texts and features of the lattices over spaces.
 
         A run of one short fragment is walked over as one; a feature may end with its first or its last. Where a walk comes to a
@@ -257,7 +363,7 @@ class Scorer:
         while len(at):
             inside = at + 1 < len(kept)
             begin, at, walked = begin[inside], at[inside] + 1, walked[inside]
-            inside = owner_at[at] == owner_at[begin]
+            inside = (owner_at[at] == owner_at[begin]) & partial[code_at[at]]
             begin, at, walked = begin[inside], at[inside], walked[inside]
             pairs, where = np.unique(walked * len(words) + code_at[at], return_inverse=True)
             walked = np.array([self._step(int(p) // len(words), words[int(p) % len(words)]) for p in pairs], np.int64)[where]
@@ -281,21 +387,26 @@ class Scorer:
         """The distinct features of each text, as pairs of text and feature, in order."""
         import pyarrow.compute as pc
 
-        if max(len(self.seen), len(self.decoded), len(self.steps)) > CACHE_WORDS:
+        if max(len(self.seen), len(self.decoded), len(self.steps), len(self.restored)) > CACHE_WORDS:
             self._forget()
         split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         coded = split.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        told = [self._word(w) for w in words]
         code = coded.indices.to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        feature = np.fromiter((t[0] for t in told), np.int64, len(told))[code]
+        partial, feature, start, single = np.zeros(len(words), bool), np.full(len(words), -1), np.full(len(words), -1), np.zeros(len(words), bool)
+        text_stem, stem = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if words and self.n > 1:
+            near, stemmed = self._partial(words)
+            text_stem, stem = self._stemmed(words, stemmed, code, owner)
+            partial[near] = True
+            for i in near.tolist():
+                feature[i], _, start[i], single[i] = self._word(words[i])
+        feature = feature[code]
         hit = np.flatnonzero(feature >= 0)
-        start = np.fromiter((t[2] for t in told), np.int64, len(told))
-        single = np.fromiter((t[3] for t in told), bool, len(told))
-        text, over = self._joined(words, code, owner, start, single)
-        n = max(1, len(self.features))
-        both = np.unique(np.concatenate([owner[hit] * n + feature[hit], np.array(text, np.int64) * n + np.array(over, np.int64)]))
+        text, over = self._joined(words, code, owner, start, single, partial)
+        n = self.n
+        both = np.unique(np.concatenate([owner[hit] * n + feature[hit], np.array(text, np.int64) * n + np.array(over, np.int64), text_stem * n + stem]))
         return both // n, both % n
 
 
@@ -344,35 +455,42 @@ class Toxicity:
         known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
         chosen = sampled(known.groupBy("doc_id").agg(F.max("toxic").alias("label")), TRAIN_ROWS, "doc_id")
         sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-        train = stage(sample.mapInArrow(_restored(model), "label int, text string, words array<string>"), "toxic-train")
+        train = stage(sample.mapInArrow(_restored(model), "label int, text string, words array<string>").withColumn("row", F.monotonically_increasing_id()), "toxic-train")
         totals = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
         good, bad = totals.get(0, 0), totals.get(1, 0)
         self.vocabulary: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
         self.weights, self.bias = np.zeros(0), math.log(bad / good) if good and bad else (30.0 if bad else -30.0)
         if good and bad:
-            counts = train.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).where(F.col("bad") + F.col("good") >= MIN_DOCS)
+            words = train.select("row", "label", F.explode("words").alias("word"))
             odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-            top = counts.withColumn("gain", F.col("bad") * odds).where("gain > 0").orderBy(F.desc("gain"), "word").limit(FEATURES).collect()
-            self.vocabulary = {r.word: i for i, r in enumerate(top)}
+            count = lambda rows: rows.groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).where(F.col("bad") + F.col("good") >= MIN_DOCS)
+            best = lambda counted, n: [r.word for r in counted.withColumn("gain", F.col("bad") * odds).where("gain > 0").orderBy(F.desc("gain"), "word").limit(n).collect()]
+            counts = count(words)
+            self.vocabulary = {word: i for i, word in enumerate(best(counts, FEATURES))}
+            sized = F.transform(F.sequence(F.lit(STEM_LENGTHS.start), F.least(F.length("word"), F.lit(STEM_LENGTHS.stop - 1))), lambda k: F.substring(F.col("word"), F.lit(1), k))
+            heads = words.where(F.col("word").rlike(r"^\p{L}+$") & (F.length("word") >= STEM_LENGTHS.start)).select("row", "label", F.explode(sized).alias("word"))
+            several = heads.groupBy("row", "label", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= STEM_WORDS)
+            self.stems = {stem: len(self.vocabulary) + i for i, stem in enumerate(best(count(several), STEMS))}
         #: Words of the sample, in MIN_DOCS of its rows, that have a feature's skeleton and are none.
         self.known: set[str] = set()
-        if self.vocabulary:
+        if self.vocabulary or self.stems:
             same = F.regexp_replace(F.translate("word", "l", "i"), r"(.)\1+", "$1")
             plain = counts.where(F.col("word").rlike(r"^\p{L}+$") & same.isin(*{skeleton(w) for w in self.vocabulary})).select("word")
             self.known = {r.word for r in plain.collect()} - self.vocabulary.keys()
             found = train.select("label", "text").mapInArrow(self._found(model), "label int, features array<int>")
-            self.weights, self.bias = fit([(r.label, r.features) for r in found.collect()], len(self.vocabulary))  # TRAIN_ROWS at most
+            self.weights, self.bias = fit([(r.label, r.features) for r in found.collect()], len(self.vocabulary) + len(self.stems))  # TRAIN_ROWS at most
         drop(train)
         self.scored = self._score(docs, model, id_col, text_col)
 
     def _found(self, model):
         """The features of the sample's texts, found as in scoring."""
-        features, known = self.vocabulary, self.known
+        features, known, stems = self.vocabulary, self.known, self.stems
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            scorer = Scorer(model.value, features, known)
+            scorer = Scorer(model.value, features, known, stems)
             for batch in batches:
                 for a, b, texts in text_chunks(batch.column(1), TEXT_BYTES, lambda c: c):
                     text, feature = scorer.find(texts)
@@ -382,15 +500,15 @@ class Toxicity:
         return run
 
     def _score(self, docs: DataFrame, model, id_col: str, text_col: str) -> DataFrame:
-        features, known, weights, bias = self.vocabulary, self.known, self.weights, self.bias
+        features, known, stems, weights, bias = self.vocabulary, self.known, self.stems, self.weights, self.bias
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            scorer = Scorer(model.value, features, known)
+            scorer = Scorer(model.value, features, known, stems)
             for batch in batches:
                 total = np.full(batch.num_rows, bias)
-                if features:
+                if features or stems:
                     for low, _, texts in text_chunks(batch.column(1), TEXT_BYTES, lambda c: c):
                         text, feature = scorer.find(texts)
                         np.add.at(total, low + text, weights[feature])
