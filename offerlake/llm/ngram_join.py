@@ -14,9 +14,10 @@ Exact copies collapse to one class first. Classes are joined to clusters by shar
 first class. A cluster's sets travel once, in pages of bounded size; each page has a tree, and every set of it
 searches the tree for sets of other components, best bound first, so that most of a group of near copies
 is joined by a comparison or two a set. Clusters of several pages are dealt anew once, their components
-known. Pairs of different components that share keys but never met in a page are then searched by key,
-again tree by tree: the members outside a key's largest component against all others. Only what the trees
-let pass is verified. Components come from the verified links.
+known. Then the sets outside a cluster's largest component meet all of the cluster, a page against a page, each page
+with a tree. Points there have about two coordinates a token, so a near copy that is no link is told by its
+bound, and what passes is verified where it is found; only joined components leave a task. At last pairs of different
+clusters that share keys are searched by key: the members outside a key's largest component against all others.
 
 Defined results: a null, empty or blank text has no n-grams and links with nothing; a text with fewer
 words is one n-gram by itself. Repeated rows are exact copies; ties of ids are one document's name. A null
@@ -40,8 +41,8 @@ from .common import Words, drop, mix, small, stage, text_chunks
 from .components import connected_components
 from .filters import MAX_BITS, KeyFilter, key_filter
 
-#: Coordinates of a point.
-COORDINATES = 64
+#: Coordinates of a point that travels; of points within a page, at most (two a token).
+COORDINATES, FINE = 64, 4096
 #: Points in a leaf of the tree; sets, and tokens on average, in a page of a cluster or key.
 LEAF, PAGE, PAGE_TOKENS = 16, 512, 4 << 20
 #: Rows and tokens, on average, that one call searches.
@@ -141,6 +142,16 @@ def point(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
 
 
+def fine_points(tokens: list[np.ndarray]) -> np.ndarray:
+    """Points with about two coordinates for each token of the largest set, so that few tokens share one."""
+    most = max(map(len, tokens))
+    n = min(FINE, max(COORDINATES, 1 << (2 * most - 1).bit_length()))
+    out = np.zeros((len(tokens), n), np.int16 if most < 1 << 15 else np.int32)
+    for row, t in zip(out, tokens, strict=True):
+        row += np.bincount((t & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(out.dtype)
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are alike enough."""
     if len(a) > len(b):
@@ -180,7 +191,7 @@ class RTree:
         """The wanted points that may overlap p enough, largest bound first: 100 * overlap >= percent * (size + other - overlap)."""
 
         def may(high, low, top):
-            most = np.minimum(high, p).sum(axis=1)
+            most = np.minimum(high, p).sum(axis=1, dtype=np.int64)
             return most, ((100 + percent) * most >= percent * (size + low)) & (100 * top >= percent * size) & (percent * low <= 100 * size)
 
         any_wanted = np.logical_or.reduceat(wanted[self.order], self.cut[:-1])
@@ -204,7 +215,7 @@ def link_page(v: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, pe
     Every set searches the tree for the sets before it that are in other components.
     """
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    points = np.stack([point(t) for t in tokens])
+    points = fine_points(tokens)
     tree = RTree(points, sizes)
     component, verified = component.copy(), 0
     before = np.zeros(len(v), bool)
@@ -219,6 +230,54 @@ def link_page(v: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, pe
     return component, verified
 
 
+def link_blocks(v: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, left: np.ndarray, met, percent: int) -> tuple[np.ndarray, int]:
+    """Like ``link_page`` for the lefts against the rights; met(x, rights) tells those that x was compared with before."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    points = fine_points(tokens)
+    rights = np.flatnonzero(~left)
+    tree = RTree(points[rights], sizes[rights])
+    component, verified = component.copy(), 0
+    for x in np.flatnonzero(left)[np.lexsort((v[left], sizes[left]))]:
+        for j in tree.search(points[x], sizes[x], percent, (component[rights] != component[x]) & ~met(x, rights)):
+            y = rights[j]
+            if component[y] != component[x]:
+                verified += 1
+                if linked(tokens[x], tokens[y], percent):
+                    low, high = sorted((component[x], component[y]))
+                    component[component == high] = low
+    return component, verified
+
+
+def _split(order: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """An order of rows, cut where a column changes."""
+    new = np.zeros(len(order) - 1, bool)
+    for c in columns:
+        new |= c[order][1:] != c[order][:-1]
+    return np.split(order, np.flatnonzero(new) + 1)
+
+
+def _blocks(percent: int):
+    """Links the pairs of pages of a call: a row per component that joined a smaller one, and one with the pairs verified."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, i, j, left, v, component, q0, q1 = (pdf[c].to_numpy() for c in ("label", "i", "j", "left", "v", "component", "q0", "q1"))
+        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
+        joined, total = [np.zeros((0, 2), np.int64)], 0
+        for rows in _split(np.lexsort((v, left, j, i, label)), label, i, j):
+            own = left[rows]
+            if own.all() or not own.any():
+                continue
+            met = lambda x, rights, rows=rows: (q0[rows[rights]] == q0[rows[x]]) | ((q1[rows[rights]] == q1[rows[x]]) & (q1[rows[x]] >= 0))
+            after, verified = link_blocks(v[rows], [tokens[k] for k in rows], component[rows], own, met, percent)
+            changed = after != component[rows]
+            joined.append(np.stack([component[rows][changed], after[changed]], axis=1))
+            total += verified
+        pairs = np.append(np.unique(np.concatenate(joined), axis=0), [[-1, -1]], axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "verified": np.append(np.zeros(len(pairs) - 1, np.int64), total)})
+
+    return run
+
+
 def _pages(percent: int):
     """Links the pages of a call."""
 
@@ -226,9 +285,7 @@ def _pages(percent: int):
         label, page, v, component = (pdf[c].to_numpy() for c in ("label", "page", "v", "component"))
         after = component.copy()
         tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
-        order = np.lexsort((v, page, label))
-        new = (label[order][1:] != label[order][:-1]) | (page[order][1:] != page[order][:-1])
-        for rows in np.split(order, np.flatnonzero(new) + 1):
+        for rows in _split(np.lexsort((v, page, label)), label, page):
             if len(rows) > 1:
                 after[rows] = link_page(v[rows], [tokens[i] for i in rows], component[rows], percent)[0]
         return pd.DataFrame({"v": v, "page": page, "was": component, "component": after})
@@ -241,21 +298,16 @@ def _key_pairs(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key, i, j, right, other = (pdf[c].to_numpy() for c in ("key", "i", "j", "right", "other"))
-        v, sizes, comp, least, label, q0, q1 = (pdf[c].to_numpy() for c in ("v", "n", "component", "least", "label", "q0", "q1"))
+        v, sizes, comp, least, label = (pdf[c].to_numpy() for c in ("v", "n", "component", "least", "label"))
         points = np.stack(pdf["point"].to_numpy())
-        order = np.lexsort((v, right, j, i, key))
-        new = np.zeros(len(order), bool)
-        for c in (key, i, j):
-            new[1:] |= c[order][1:] != c[order][:-1]
         pairs = [np.zeros((0, 3), np.int64)]
-        for rows in np.split(order, np.flatnonzero(new)):
+        for rows in _split(np.lexsort((v, right, j, i, key)), key, i, j):
             rights, lefts = rows[right[rows]], rows[~right[rows]]
             if not len(rights) or not len(lefts):
                 continue
             tree = RTree(points[rights], sizes[rights])
             for x in lefts:
-                met = (label[rights] == label[x]) & ((q0[rights] == q0[x]) | ((q1[rights] == q1[x]) & (q1[x] >= 0)))
-                found = rights[tree.search(points[x], sizes[x], percent, (comp[rights] != comp[x]) & ~met & (~other[rights] | (v[rights] > v[x])))]
+                found = rights[tree.search(points[x], sizes[x], percent, (comp[rights] != comp[x]) & (label[rights] != label[x]) & (~other[rights] | (v[rights] > v[x])))]
                 pairs.append(np.stack([np.minimum(v[x], v[found]), np.maximum(v[x], v[found]), np.minimum(least[x], least[found])], axis=1))
         both, keys = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "least": both[:, 2], "keys": keys})
@@ -268,6 +320,8 @@ class NgramJoin:
 
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, max_filter_bits: int = MAX_BITS, page: int = PAGE):
         self._percent, self._page = percent, page
+        #: Pairs verified between pages and by key, for whoever watches them.
+        self.verified = self.verified_by_key = 0
         scheme = Scheme(percent)
         counted = docs.select(text_col).mapInArrow(_all_keys(n, scheme), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
         repeated = stage(counted.where("copies > 1").select("key"), "join-keys")
@@ -349,16 +403,41 @@ class NgramJoin:
                 joined = connected_components(found.where("was <> component").select(F.col("was").alias("a"), F.col("component").alias("b")))
                 told = told.drop("now")
                 placed = placed.join(joined.select(F.col("vertex").alias("component"), F.col("component").alias("now")), "component", "left")
-            before = placed
             placed = stage(placed.join(told, "v", "left").withColumn("component", F.coalesce("now", "component")).withColumn(f"q{turn}", F.coalesce(f"q{turn}", F.lit(-1).cast("long"))).drop("now"), "join-clusters")
-        return placed
+        return self._met(placed)
+
+    def _met(self, placed: DataFrame) -> DataFrame:
+        """After the pages: the sets outside a cluster's largest component meet the cluster's other pages."""
+        sizes = placed.where("pages > 1").groupBy("label", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("label").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
+        main = main.where("main.size < all").select("label", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / F.col("all") * 1_000_000).alias("share"))
+        lefts = F.greatest(F.lit(1), F.ceil(F.col("pages") * F.col("share") / 1_000_000)).alias("lefts")
+        work = placed.where("pages > 1").join(main, "label").select("v", "n", "label", "component", "q0", "q1", "pages", lefts, (F.col("component") != F.col("main")).alias("other"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        columns = ["v", "n", "label", "component", "q0", "q1"]
+        right = work.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), F.pmod(F.xxhash64("v", F.lit(7)), F.col("pages")).alias("j"))
+        left = work.where("other").select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("v", F.lit(8)), F.col("lefts")).alias("i"), every("pages").alias("j"))
+        blocks = stage(right.unionByName(left), "join-work")
+        rows, tokens = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not rows:
+            drop(blocks)
+            return placed
+        group = F.pmod(F.xxhash64("label", "i", "j"), F.lit(max(1, -(-tokens // GROUP_TOKENS), -(-rows // GROUP_ROWS)))).alias("group")
+        sets = self._sets.select("v", "tokens").join(small(blocks, rows, 96), "v").select("label", "i", "j", "left", "v", "component", "q0", "q1", "tokens", group)
+        found = stage(sets.groupBy("group").applyInPandas(_blocks(self._percent), "a long, b long, verified long"), "join-blocks")
+        drop(blocks)
+        self.verified = found.agg(F.sum("verified")).first()[0]
+        joined = connected_components(found.where("a <> b").select("a", "b")).select(F.col("vertex").alias("component"), F.col("component").alias("now"))
+        after = stage(placed.join(joined, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "join-clusters")
+        drop(found)
+        drop(placed)
+        return after
 
     def _rest(self, members: DataFrame, placed: DataFrame) -> DataFrame:
-        """Verified links (a, b) between different components of classes that share a key but no page."""
-        own = placed.select("v", "label", "q0", "q1", "component")
-        at = members.join(own, "v", "left").select("key", "v", "least", *[F.coalesce(c, d).alias(c) for c, d in (("label", F.col("v")), ("q0", F.lit(0)), ("q1", F.lit(-1)), ("component", F.col("v")))])
-        same = F.expr("min(label) = max(label) and min(q0) = max(q0)").alias("same")
-        parts = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), same).where("x <> y and not same").select("key")
+        """Verified links (a, b) between different components of classes that share a key but no cluster."""
+        own = placed.select("v", "label", "component")
+        at = members.join(own, "v", "left").select("key", "v", "least", F.coalesce("label", "v").alias("label"), F.coalesce("component", "v").alias("component"))
+        parts = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("label").alias("p"), F.max("label").alias("q")).where("x <> y and p <> q").select("key")
         rest = stage(at.join(parts, "key", "left_semi"), "join-rest")
         n_rest = rest.count()
         if not n_rest:
@@ -368,7 +447,7 @@ class NgramJoin:
         main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
         blocks = main.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / self._page).alias("lefts"), F.ceil(F.col("all") / self._page).alias("rights"))
         points = rest.join(blocks, "key").withColumn("other", F.col("component") != F.col("main")).join(self._sets.select("v", "n", "point"), "v")
-        columns = ["key", "v", "n", "least", "label", "q0", "q1", "component", "point", "other"]
+        columns = ["key", "v", "n", "least", "label", "component", "point", "other"]
         right = points.select(*columns, F.lit(True).alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"), F.pmod(F.xxhash64("v", F.lit(7)), F.col("rights")).alias("j"))
         left = points.where("other").select(*columns, F.lit(False).alias("right"), F.pmod(F.xxhash64("v", F.lit(8)), F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"))
         # Most keys have few members: a call's group holds many of them, and each has its own tree.
@@ -376,6 +455,7 @@ class NgramJoin:
         searched = right.union(left).withColumn("group", group).groupBy("group").applyInPandas(_key_pairs(self._percent), "a long, b long, least long, keys long")
         pairs = stage(searched.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("keys").alias("keys")).where("keys >= least").select("a", "b"), "join-pairs")
         drop(rest)
+        self.verified_by_key = pairs.count()
         return stage(self._verified(pairs), "join-links")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:

@@ -158,6 +158,34 @@ def test_ngram_join_over_pages(spark, monkeypatch, page, edits):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(reach))
 
 
+def test_near_copies_that_are_no_links_are_told_by_their_bounds(spark):
+    """Copies of 200 words, three changed in each: few pairs are links, all pairs are close. What is verified between pages grows with the links."""
+    verified = {}
+    for n in (200, 400):
+        rng, base = random.Random(1), [f"w{i}" for i in range(200)]
+        sets = []
+        for c in range(n):
+            words = base[:]
+            for k in rng.sample(range(200), 3):
+                words[k] = f"x{c}_{k}"
+            sets.append(" ".join(words))
+        join = ngram_join.NgramJoin(spark.createDataFrame(list(enumerate(sets)), "doc_id long, text string").repartition(4), n=5, percent=80, page=64)
+        found = {r.doc_id: r.component_id for r in join.docs.collect()}
+        grams = [shingles(t, 5) for t in sets]
+        near = [(i, j) for i in range(n) for j in range(i) if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])]
+        reach = list(range(n))
+        while True:
+            new = reach[:]
+            for i, j in near:
+                new[i] = new[j] = min(new[i], new[j])
+            if new == reach:
+                break
+            reach = new
+        assert found == dict(enumerate(reach))
+        verified[n] = join.verified + join.verified_by_key
+        assert verified[n] <= 3 * len(near) + n  # of n * n / 2 pairs
+
+
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(4)
     points = rng.poisson(3, (300, ngram_join.COORDINATES)).astype(np.int32)
