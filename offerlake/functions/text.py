@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x180)) if unicodedata.normalize("NFD", c)[0].isascii() and len(unicodedata.normalize("NFD", c)) > 1]
+_ACCENTED = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0].isascii() and len(unicodedata.normalize("NFD", c)) > 1]
 
 # Tokens of a title that name no attribute.
 STOP_WORDS = (

@@ -114,11 +114,16 @@ def brand_of(title: Column, hint: Column | None = None) -> Column:
     return F.coalesce(*([] if hint is None else [first_rule(F.trim(hint), named)]), *tries)
 
 
+# Sizes of shoes, and how titles write them.
+SMALLEST, LARGEST = 16, 48
+MARKED_SIZE, ANY_SIZE = r"\b(\d{2})(?:[.,]0)?\s+br\b", r"\b\d{2}\b"
+
+
 def size_of(title: Column) -> Column:
     """A shoe size from 16 to 48: the one before 'Br', else the last number of two digits."""
-    fits = lambda x: x.try_cast("int").between(16, 48)
-    marked = F.regexp_extract(F.lower(title), r"\b(\d{2})(?:[.,]0)?\s+br\b", 1)
-    others = F.filter(F.regexp_extract_all(title, F.lit(r"\b\d{2}\b"), F.lit(0)), fits)
+    fits = lambda x: x.try_cast("int").between(SMALLEST, LARGEST)
+    marked = F.regexp_extract(F.lower(title), MARKED_SIZE, 1)
+    others = F.filter(F.regexp_extract_all(title, F.lit(ANY_SIZE), F.lit(0)), fits)
     return F.when(fits(marked), marked).otherwise(F.try_element_at(others, F.lit(-1)))
 
 

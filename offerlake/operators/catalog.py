@@ -70,6 +70,13 @@ def page_count(total: Column, size: int) -> Column:
     return F.ceil(total / size).cast("long")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table written in the shared folder and read again: what several plans start from is made once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """All rows in a total order, with ``place`` from 1: sorted by range, numbered within each part, and moved on by the rows of
     the parts before. The sorted rows are staged, so that both passes see the same parts."""

@@ -140,6 +140,12 @@ def cleaned_ids(payload: Column, longest: int = 36, most: int = 1000) -> Column:
     return F.when(F.size(payload) <= most, F.array_distinct(ids))
 
 
+# What a better product may cost more, by how many better criteria, and by how much its score must lead.
+LEAD = 0.5
+WORTH = ((50, 15, 3), (100, 10, 2))
+TOO_DEAR, FEW_ADVANTAGES, LEAST_COMPARABLE = (200, 30), 1, 2
+
+
 def worth_paying(scored: DataFrame, criteria: Sequence[str] = ("discount", "rating", "reviews", "shipping")) -> DataFrame:
     """Per cohort, whether its one winner is worth more than its one cheapest: YES, NO or DEPENDS. Needs the leader columns."""
     side = F.struct("product_id", F.col("current_price").cast("double").alias("price"), F.col("rounded").alias("score"), *[F.col(f"n_{c}") for c in criteria])
@@ -155,35 +161,36 @@ def worth_paying(scored: DataFrame, criteria: Sequence[str] = ("discount", "rati
 
     both = both.select("cohort_id", "w", "c", more.alias("more"), share.alias("share"), compared(1).alias("better"), compared(-1).alias("worse"), sum((F.when(known & F.col(f"w.n_{c}").isNotNull() & F.col(f"c.n_{c}").isNotNull(), 1).otherwise(0) for c in criteria), F.lit(0)).alias("comparable"))
     n = F.size("better")
-    yes = (F.size("worse") == 0) & (F.col("w.score") - F.col("c.score") >= 0.5) & (((F.col("more") <= 50) & (F.col("share") <= 15) & (n >= 3)) | ((F.col("more") <= 100) & (F.col("share") <= 10) & (n >= 2)))
-    no = ((F.col("more") > 200) | (F.col("share") > 30)) & (n <= 1)
-    verdict = F.when(F.col("more").isNull(), "DEPENDS").when((F.col("w.product_id") == F.col("c.product_id")) | (F.col("more") <= 1e-6), "NO").when(F.col("comparable") < 2, "DEPENDS").when(yes, "YES").when(no, "NO").otherwise("DEPENDS")
+    allowed = F.lit(False)
+    for most, share_most, least in WORTH:
+        allowed |= (F.col("more") <= most) & (F.col("share") <= share_most) & (n >= least)
+    yes = (F.size("worse") == 0) & (F.col("w.score") - F.col("c.score") >= LEAD) & allowed
+    no = ((F.col("more") > TOO_DEAR[0]) | (F.col("share") > TOO_DEAR[1])) & (n <= FEW_ADVANTAGES)
+    verdict = F.when(F.col("more").isNull(), "DEPENDS").when((F.col("w.product_id") == F.col("c.product_id")) | (F.col("more") <= 1e-6), "NO").when(F.col("comparable") < LEAST_COMPARABLE, "DEPENDS").when(yes, "YES").when(no, "NO").otherwise("DEPENDS")
     return both.select("cohort_id", verdict.alias("verdict"), "more", "share", "better", "worse", "comparable")
 
 
 def heroes(products: DataFrame, anchors: Sequence[str], generic: Sequence[str], n: int = 3, exact: bool = False) -> DataFrame:
     """n products: the best discounted of each anchor brand that is left, then of the known brands, then of any.
 
-    products: id, brand, discount. Of each tier only the first n can matter, so few rows are ranked one by one.
+    products: id, brand, discount. One pass ranks each tier's first n before the shuffle; these few rows meet in one array, along
+    which the places are given.
     """
-    order = [F.desc("discount"), F.col("id")]
     name = F.coalesce("brand", F.lit("")) if exact else brand_alias(F.coalesce("brand", F.lit("")))
     tiers = [(name == a) if exact else F.contains(name, F.lit(a)) for a in anchors] + [~F.lower(name).isin(*generic), F.lit(True)]
-    best = None
-    for tier, fits in enumerate(tiers):
-        part = products.where(fits).orderBy(*order).limit(n).select("id", "brand", "discount", F.lit(tier).alias("tier"))
-        best = part if best is None else best.unionByName(part)
-    chosen, taken = [], set()
-    rows = sorted(best.collect(), key=lambda r: (r.tier, -r.discount, r.id))  # n a tier
-    for tier in range(len(tiers)):
-        for r in (r for r in rows if r.tier == tier):
-            if len(chosen) < n and r.id not in taken:
-                chosen.append((len(chosen) + 1, r.id, r.brand, r.discount))
-                taken.add(r.id)
-                if tier < len(anchors):
-                    break
-    schema = products.select(F.lit(1).alias("place"), "id", "brand", "discount").schema
-    return products.sparkSession.createDataFrame(chosen, schema)
+    fits = F.array_compact(F.array(*[F.when(c, i) for i, c in enumerate(tiers)]))
+    ranked = products.select("id", "brand", "discount", F.explode(fits).alias("tier"))
+    first = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("discount"), "id"))).where(F.col("_nth") <= n)
+    row = F.struct("tier", (-F.col("discount")).alias("rank"), "id", "brand", "discount")
+    few = first.agg(F.sort_array(F.collect_list(row)).alias("rows"))  # n a tier
+    none = F.slice("rows", 1, 0)
+
+    def placed(chosen: Column, x: Column) -> Column:
+        known = F.exists(chosen, lambda y: (y["id"] == x["id"]) | ((y["tier"] == x["tier"]) & (x["tier"] < len(anchors))))
+        return F.when((F.size(chosen) >= n) | known, chosen).otherwise(F.concat(chosen, F.array(x)))
+
+    chosen = few.select(F.aggregate("rows", none, placed).alias("chosen"))
+    return chosen.select(F.posexplode("chosen").alias("at", "x")).select((F.col("at") + 1).alias("place"), "x.id", "x.brand", "x.discount")
 
 
 SNAPSHOT = "struct<productId:string,selectedAt:string,snapshot:struct<product:struct<id:string,title:string,rating:double>,selectedAt:string>>"

@@ -42,7 +42,7 @@ def _split(html: Column, marker: str) -> Column:
 
 def raw_cards(pages: DataFrame) -> DataFrame:
     """source_id, page_no, position and the texts of each card's parts."""
-    body = F.regexp_extract(F.col("html"), r'(?s)^(.*?)(?:<nav class="andes-pagination|$(?!.))', 1)
+    body = F.substring_index("html", '<nav class="andes-pagination', 1)
     cards = pages.select("source_id", "page_no", F.posexplode(_split(body, CARD)).alias("position", "card"))
     card = F.col("card")
     return cards.select(

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.offers import section_of
-from ..sources.shared import shared_path
 from . import runs as R
+from .catalog import staged
 
 # Notes and default reasons.
 SYSTEM, AUTO_NOTE, RUN_NOTE, BULK_REASON = "system", "Auto-aprovado: ", "Coleta automática: ", "Rejeitado em lote"
@@ -25,12 +25,6 @@ def key_of(kind: str, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lit(kind), *parts), 256), 1, 32)
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def product_rows(rows: DataFrame) -> DataFrame:
     """Published products of rows with product_id, name, slug, brand_slug, category_slug, image, section."""
     return rows.select(F.col("product_id").alias("id"), F.col("name").alias("main_name"), "slug", "brand_slug", F.col("category_slug").alias("main_category_slug"), F.col("image").alias("main_image_url"), F.lit("published").alias("catalog_status"), F.col("name").alias("short_description"), "section")
@@ -66,7 +60,7 @@ def published(items: DataFrame, triage: DataFrame, sources: DataFrame, parameter
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     passes = F.col("route") == "published"
     routed = routed.join(names, "source_id", "left").withColumn("product_id", F.when(passes, key_of("product", F.col("content_hash")))).withColumn("offer_id", F.when(passes, key_of("offer", F.col("content_hash"))))
-    routed = _staged(routed, "routing")
+    routed = staged(routed, "routing")
     made = routed.where(F.col("product_id").isNotNull()).withColumn("name", F.col("title")).withColumn("section", F.lit(None).cast("string"))
     made = made.withColumn("affiliate_url", X.tracked(F.col("url"), parameters)).withColumn("marketplace_id", F.lit(marketplace_id).cast("long"))
     sure = F.floor(F.col("confidence") * 100 + 0.5).cast("string")
@@ -100,7 +94,7 @@ def reviewed(triage: DataFrame, processed: DataFrame, decisions: DataFrame, defa
     """
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     rows = triage.select(F.col("id").alias("triage_id"), "processed_id", "suggested_brand", "suggested_category").join(processed.withColumnRenamed("id", "processed_id"), "processed_id")
-    told = _staged(decisions.where(F.col("action").isin("approve", "reject")).join(rows, "triage_id"), "decisions")
+    told = staged(decisions.where(F.col("action").isin("approve", "reject")).join(rows, "triage_id"), "decisions")
     last = told.groupBy("triage_id").agg(F.max_by("decision_id", F.struct("at", "decision_id")).alias("decision_id"))
     marked = told.join(last.withColumn("effective", F.lit(True)), ["triage_id", "decision_id"], "left").withColumn("effective", F.coalesce("effective", F.lit(False)))
     approve = F.col("action") == "approve"

@@ -132,7 +132,8 @@ def sort_modes_top(v):
       SELECT 'most_recent', id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, api_rank) FROM r""")
 def sort_modes(v):
     base = [F.col("discount_percent").desc_nulls_last(), F.desc("created_at"), F.col("id")]
-    parts = [C.placed(v.v_catalog, [*C.sort_keys(mode), *base]).select(F.lit(mode).alias("mode"), "id", "place") for mode in C.SORTS]
+    narrow = C.staged(v.v_catalog.select("id", "discount_percent", "current_price", "created_at"), "sort-keys")  # the view is read once
+    parts = [C.placed(narrow, [*C.sort_keys(mode), *base]).select(F.lit(mode).alias("mode"), "id", "place") for mode in C.SORTS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -188,7 +189,8 @@ def review_sorts_top(v):
     SELECT 'price', id, row_number() OVER (ORDER BY price ASC NULLS LAST, id) FROM v_processed""")
 def review_sorts(v):
     modes = {"discount": F.coalesce("discount_percent", F.lit(0)).desc(), "reviews": F.coalesce("quantity", F.lit(0)).desc(), "price": F.col("price").asc_nulls_last()}
-    parts = [C.placed(v.v_processed, [key, F.col("id")]).select(F.lit(mode).alias("mode"), "id", "place") for mode, key in modes.items()]
+    narrow = C.staged(v.v_processed.select("id", "discount_percent", "quantity", "price"), "review-keys")
+    parts = [C.placed(narrow, [key, F.col("id")]).select(F.lit(mode).alias("mode"), "id", "place") for mode, key in modes.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import scoring as G
+from ..operators.records import place_letters
 from ..registry import query
 
 _NORMAL = """
@@ -57,7 +58,7 @@ def product_labels(v):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("cohort_id").orderBy("product_id"))
-    return v.v_cohorts.select("product_id", F.concat(F.lit("Produto "), F.char(F.lit(64) + place)).alias("label"))
+    return v.v_cohorts.select("product_id", F.concat(F.lit("Produto "), place_letters(place)).alias("label"))
 
 
 def _decided(v):
