@@ -10,7 +10,8 @@ first, and running sums are taken within a block only.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source, after all
 others; of repeated rows, each counts. A mix of nothing is empty. Texts of any length are counted whole; one
-is cut only where its source's target ends. Columns travel in a struct, so none can clash.
+is cut only where its source's target ends. Columns travel in a struct; in ``plan`` and ``schedule`` those of a
+name that the plan has too come out with doc_ before it. There are few sources, so windows over a row a source are small.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ class Mix:
     training order; ``rows``: the mixed documents in training order."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, curriculum=CURRICULUM):
-        carry = docs.columns if carry is None else carry
+        carry = self._carry = docs.columns if carry is None else carry
         key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         name = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col)))  # no nulls in join keys
@@ -95,10 +96,13 @@ class Mix:
         rest = F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("epochs") * F.col("source_size") - F.col("start")))
         self.laid = laid.withColumn("rest", rest.cast("long"))
         taken = (F.col("size") * F.col("epochs") + F.col("rest")).alias("taken")
-        self.plan = self._with_docs(self.laid.select("rid", "size", "source_size", "target", taken)).select("doc.*", "size", "source_size", "target", "taken")
+        self.plan = self._with_docs(self.laid.select("rid", "size", "source_size", "target", taken)).select(*self._carried("size", "source_size", "target", "taken"), "size", "source_size", "target", "taken")
         self._text, self._most_epochs = text_col, math.ceil(cap) + 1
         self._curriculum = curriculum
-        self._columns = carry
+
+    def _carried(self, *own: str) -> list[Column]:
+        """The document's columns; those that would clash with the plan's own are named after the document."""
+        return [F.col(f"doc.`{c}`").alias(f"doc_{c}" if c in own else c) for c in self._carry]
 
     def _with_docs(self, plan: DataFrame, rows: int = 1) -> DataFrame:
         """A plan's rows (so many a document at most) with their documents."""
@@ -119,7 +123,8 @@ class Mix:
         taken = (F.col("size") * F.col("epochs") + F.col("rest")).alias("taken")
         placed = self.laid.select("rid", "id", "size", "source_size", "target", taken, F.transform(epochs, self._position).alias("positions"))
         ordered = self._with_docs(placed).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "id")
-        return ordered.select("doc.*", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
+        own = ("size", "source_size", "target", "taken", "position", "positions")
+        return ordered.withColumn("position", F.get("positions", F.lit(0))).select(*self._carried(*own), *own)
 
     @property
     def rows(self) -> DataFrame:

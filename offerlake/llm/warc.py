@@ -3,7 +3,7 @@
 A dictionary is trained on a bounded sample of the records to be archived. Every archive starts with it, in
 a skippable frame, and then holds each record as a frame of its own, so that a reader can start at any
 record. An archive is the exact content of a .warc.zst file; archives are rows of bytes, which Spark writes
-to and reads from any store, and save_files() puts them into a folder that the executors mount.
+to and reads from any store. read_files() reads such files as they lie in a store.
 
 Payloads that were archived before are revisit records. Defined results: a null page is an empty payload; a
 null page_id is never the one that others refer to unless all are null; rows that repeat the largest id are
@@ -19,7 +19,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,20 +186,9 @@ def read_archives(archives: DataFrame, id_type: T.DataType | None = None) -> Dat
     return archives.select("archive").mapInArrow(run, schema)
 
 
-def save_files(archives: DataFrame, folder: str) -> None:
-    """Writes each archive as a .warc.zst file in a folder that all executors mount; a retried task writes the same file again."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-
-    def write(rows):
-        for r in rows:
-            part = f"{folder}/{r.archive_id:012d}.warc.zst"
-            with open(f"{part}.tmp", "wb") as f:
-                f.write(r.archive)
-            os.replace(f"{part}.tmp", part)
-
-    archives.select("archive_id", "archive").foreachPartition(write)
+def read_files(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
+    """The records of .warc.zst files anywhere that Spark reads; a file is a row, so files should be of bounded size, as written here."""
+    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.col("content").alias("archive")), id_type)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

@@ -221,3 +221,30 @@ def test_matrix_checksums():
     data = np.frombuffer(b"".join(parts) + b"x" * 3000, np.uint8)
     sizes = np.array(list(map(len, parts)))
     assert resampling.matrix_crcs(data, np.cumsum(sizes) - sizes, sizes).tolist() == list(map(zlib.crc32, parts))
+
+
+# --- earlier operators ------------------------------------------------------------------
+
+
+def test_archives_are_read_as_files(spark, tmp_path):
+    from offerlake.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>text</p>" * (i % 3) * 100) for i in range(30)], "page_id long, url string, html string").repartition(2)
+    for r in warc.write_archives(pages).collect():
+        (tmp_path / f"{r.archive_id}.warc.zst").write_bytes(r.archive)
+    (tmp_path / "other.txt").write_text("no archive")
+    found = {r.page_id: (r.url, r.payload_bytes, r.record_type) for r in warc.read_files(spark, str(tmp_path)).collect()}
+    assert {i: (u, n) for i, (u, n, _) in found.items()} == {i: (f"http://h/{i}", 1100 * (i % 3)) for i in range(30)}
+    assert {i for i, (_, n, kind) in found.items() if kind == "response" and n} == {28, 29}  # the last of each equal payload
+
+
+def test_a_mix_of_columns_that_clash(spark):
+    from offerlake.llm.mixing import Mix
+
+    rows = [(i, "word " * (i + 1), "s", "own", 1.5, "p") for i in range(5)]
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target double, position string"))
+    plan, schedule = mix.plan, mix.schedule
+    assert plan.columns == ["doc_id", "text", "source", "doc_size", "doc_target", "position", "size", "source_size", "target", "taken"]
+    assert {r["size"] for r in plan.collect()} == {1, 2, 3, 4, 5}
+    assert len(set(schedule.columns)) == len(schedule.columns) and {r.doc_position for r in schedule.collect()} == {"p"}
+    assert mix.rows.columns == ["doc_id", "text", "source", "size", "target", "position"]
