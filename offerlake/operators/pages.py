@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.offers import collected_discount
+from .catalog import staged
 
 # The classes that a card's parts have, and phrases of pages and cards.
 CARD = r'(?=<div[^>]*class="(?:[^"]* )?poly-card[ "])'
@@ -104,8 +105,8 @@ def first_cards(cards: DataFrame, within: list[str]) -> DataFrame:
     return cards.withColumn("_nth", order).where("_nth = 1").drop("_nth")
 
 
-def audited(pages: DataFrame) -> DataFrame:
-    """Per page: blocked, empty_state, has_next, raw_cards, parsed_cards and what is wrong with it."""
+def audited(pages: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+    """Per page: blocked, empty_state, has_next, raw_cards, parsed_cards and what is wrong with it. Its parsed cards may be given."""
     html = F.col("html")
     low = F.lower(html)
     blocked = F.length(html) < MIN_LENGTH
@@ -117,7 +118,7 @@ def audited(pages: DataFrame) -> DataFrame:
     for phrase in EMPTY:
         empty |= F.contains(plain, F.lit(phrase))
     told = pages.select("source_id", "page_no", F.coalesce(blocked, F.lit(True)).alias("blocked"), empty.alias("empty_state"), html.rlike(NEXT_LINK).alias("has_next"), F.size(_split(html, CARD)).alias("raw_cards"))
-    parsed = parsed_cards(pages).groupBy("source_id", "page_no").agg(F.count(F.lit(1)).cast("int").alias("parsed_cards"))
+    parsed = (parsed_cards(pages) if cards is None else cards).groupBy("source_id", "page_no").agg(F.count(F.lit(1)).cast("int").alias("parsed_cards"))
     joined = told.join(parsed, ["source_id", "page_no"], "left").withColumn("parsed_cards", F.coalesce("parsed_cards", F.lit(0)))
     return joined.withColumn("error", F.when((F.col("raw_cards") == 0) & ~F.col("empty_state"), "unrecognised_markup"))
 
@@ -125,9 +126,10 @@ def audited(pages: DataFrame) -> DataFrame:
 def crawl_prefix(pages: DataFrame) -> DataFrame:
     """The pages that a crawl keeps, source by source: up to one without cards or like the one before it (both go), one without
     a link to the next, or the last allowed one."""
-    items = parsed_cards(pages).groupBy("source_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("position", "content_hash"))).alias("items"))  # a page has few cards
+    cards = staged(parsed_cards(pages).select("source_id", "page_no", "position", "content_hash"), "cards")  # pages are parsed once
+    items = cards.groupBy("source_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("position", "content_hash"))).alias("items"))  # a page has few cards
     signature = items.select("source_id", "page_no", F.slice(F.col("items.content_hash"), 1, SIGNATURE).alias("signature"))
-    facts = audited(pages).join(signature, ["source_id", "page_no"], "left").where(F.col("page_no") <= MAX_PAGES)
+    facts = audited(pages, cards).join(signature, ["source_id", "page_no"], "left").where(F.col("page_no") <= MAX_PAGES)
     order = Window.partitionBy("source_id").orderBy("page_no")  # MAX_PAGES rows at most
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     facts = facts.withColumn("again", F.coalesce(F.col("signature") == F.last("signature", ignorenulls=True).over(before), F.lit(False)))
@@ -153,8 +155,10 @@ def store_items(pages: DataFrame) -> DataFrame:
         "source_id", "page_no", F.lit(0).alias("tried"), "position", "x.title", F.coalesce("x.url", F.lit("")).alias("url"), F.col("x.id").alias("external_id"), now.alias("price"),
         F.coalesce(F.col("x.prices.prices.originalPrice").try_cast("double"), now).alias("original_price"), F.nullif("x.prices.prices.discountPercent", F.lit(0)).alias("discount"), F.coalesce("x.freeShipping", F.lit(False)).alias("free_shipping"),
     ).where("price > 0")
+    # A page whose state gives an item is not split at all.
+    told = F.exists(F.coalesce(state.searchState.itemsResponse.results, F.array()), lambda x: F.coalesce((x.title != "") & x.id.isNotNull() & (F.coalesce(x.prices.id, F.lit(0)) >= 0) & (x.prices.prices.currentPrice.try_cast("double") > 0), F.lit(False)))
     kinds = F.array(*[_split(F.col("html"), marker) for marker in STORE_CARDS])
-    cards = pages.select("source_id", "page_no", F.posexplode(kinds).alias("kind", "cards")).select("source_id", "page_no", (F.col("kind") + 1).alias("tried"), F.posexplode("cards").alias("position", "card"))
+    cards = pages.where(~F.coalesce(told, F.lit(False))).select("source_id", "page_no", F.posexplode(kinds).alias("kind", "cards")).select("source_id", "page_no", (F.col("kind") + 1).alias("tried"), F.posexplode("cards").alias("position", "card"))
     card = F.col("card")
     title = F.trim(F.coalesce(*[F.nullif(_inside(card, c), F.lit("")) for c in ("poly-component__title", "ui-search-result__title")], F.regexp_extract(card, "(?s)<h2[^>]*>([^<]*)<", 1)))
     whole = lambda *places: F.coalesce(*[F.nullif(_inside(card, *p), F.lit("")) for p in places])
