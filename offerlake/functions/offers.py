@@ -15,6 +15,12 @@ def rounded(x: Column) -> Column:
     return F.floor(x + 0.5).cast("int")
 
 
+def price_of(text: Column) -> Column:
+    """The number that a text starts with; 0 if it starts with none or with one that is not finite."""
+    number = F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number).otherwise(0.0)
+
+
 def effective_discount(informed: Column, current: Column, original: Column) -> Column:
     """The informed discount if positive, else that of the prices, else 0; at most 100."""
     now, before = current.cast("double"), original.cast("double")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalog", "attributes", "sections", "facets", "scores", "maintenance", "streams", "pages", "runs", "documents", "replays", "publishing", "markup", "records")
+MODULES = ("catalog", "attributes", "sections", "facets", "scores", "maintenance", "streams", "pages", "runs", "documents", "replays", "publishing", "markup", "records", "varied")
 
 
 def load_all() -> None:
