@@ -15,6 +15,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: The largest table, in estimated bytes, that an operator hints to broadcast.
 BROADCAST_BYTES = 48 << 20
+#: Bytes that a broadcast id counts with, and the bits of a bitmap of ``bitmap_construct_agg``; there are 4,096 such bitmaps.
+ID_BYTES, BITMAP_BITS = 40, 1 << 15
+#: Cells that a step of a quantile splits the values into.
+CELLS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +66,49 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
+def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among the given ids (one column, distinct). Few ids are broadcast. Many are joined by key,
+    after a bitmap of their hashes, of the same size for any number of them, has held back most other rows."""
+    ids = ids.toDF("_id")
+    if fits(ids.count(), ID_BYTES):
+        return df.join(F.broadcast(ids), F.col(key) == F.col("_id"), "left_semi")
+    return candidates(df, key, ids).join(ids, F.col(key) == F.col("_id"), "left_semi")
+
+
+def candidates(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows with a key whose hash is that of an id: all those with the ids, and few others."""
+    hashed = lambda c: F.xxhash64(F.col(c).cast("string"))
+    part, place = (lambda c: F.shiftrightunsigned(hashed(c), 52)), (lambda c: hashed(c).bitwiseAND(F.lit(BITMAP_BITS - 1)))
+    maps = ids.groupBy(part("_id").alias("_part")).agg(F.bitmap_construct_agg(place("_id")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, place(key).bitwiseAND(F.lit(7)).cast("int")) == 1
+    return df.join(F.broadcast(maps), part(key) == F.col("_part")).where(held).drop("_part", "_bits")
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of a column of doubles of finite range, interpolated as by ``percentile``; None without any.
+
+    The cell that holds the place is split until it holds one value, so that no task and no answer has more than
+    CELLS + 1 of them, however many differ."""
+    x = F.col(values.columns[0])
+    figures = (F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+    n, low, high = values.agg(*figures).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    left = math.floor(place)
+    while low < high:
+        cell = F.floor((x - F.lit(low)) / F.lit(high - low) * CELLS)
+        for found in sorted(values.where(x.between(low, high)).groupBy(cell).agg(*figures).collect(), key=lambda r: r.low):
+            if left < found.n:
+                break
+            left -= found.n
+        low, high = found.low, found.high
+    upto, above = values.agg(F.count_if(x <= low), F.min(F.when(x > low, x))).first()
+    first = math.floor(place)
+    return low if place == first or upto > first + 1 else (first + 1 - place) * low + (place - first) * above
+
+
 def sampled(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The n rows with the lowest hashes of the keys. A cut-off from the count leaves little more than n rows
     in all partitions together, so the last step merges no more, however many partitions there are."""

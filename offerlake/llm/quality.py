@@ -1,9 +1,9 @@
 """Quality rules, and a target-against-raw log-likelihood ratio of hashed n-grams.
 
 Two multinomials over hashed byte n-grams are counted: one of the raw corpus (every document) and one
-of a trusted target (a bounded sample of documents labelled good). A document's score is the mean of
+of a trusted target (every document labelled good). A document's score is the mean of
 log p_target - log p_raw over its n-grams, which is free of its length; it is a sum of whole numbers, the same in any place of the table. Every document with a score
-below the threshold goes; the threshold is a quantile of the trusted sample's own scores, less a margin.
+below the threshold goes; the threshold is a quantile of all trusted documents' own scores, less a margin.
 
 Defined results: a null or empty text has no words and fails the rules (under ten words); its score is 0.
 Without trusted documents the ratio is 0 everywhere and only the rules decide. Repeated rows are judged
@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, Words, sampled, stage, text_chunks
+from .common import IS_SPACE, Words, drop, quantile, stage, text_chunks, with_ids
 
 NGRAM = 3
 BUCKETS = 1 << 16
 #: Log ratios are rounded to whole parts of this, so that a sum is exact and the same wherever a text lies.
 PARTS = 1 << 24
-#: At most so many trusted documents train the target model; they are those with the lowest hashes.
-TRUSTED_ROWS = 20_000
 #: Share of the trusted documents below the threshold before the margin, and the margin in nats an n-gram.
 QUANTILE, MARGIN = 0.01, 0.1
 
@@ -149,11 +147,13 @@ class QualityRules:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None):
         good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-        good = sampled(good, TRUSTED_ROWS, "good_id")
-        trusted = stage(docs.select(F.col(id_col).alias("good_id"), F.col(text_col).alias("text")).join(F.broadcast(good), "good_id").select("text"), "quality-trusted")
+        named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        trusted = stage(with_ids(named, "id", good).select("text"), "quality-trusted")
         self.weights = log_ratio(counts(trusted, "text"), counts(docs, text_col))
-        own = annotate(trusted, self.weights).where("not rules.base_failed")
-        at = own.agg(F.percentile("rules.score", F.lit(QUANTILE))).first()[0]
+        scores = stage(annotate(trusted, self.weights).where("not rules.base_failed").select("rules.score"), "quality-scores")
+        at = quantile(scores, QUANTILE)
+        drop(trusted)
+        drop(scores)
         self.threshold = float("-inf") if at is None else at - MARGIN
         self.judged = annotate(docs, self.weights, text_col, carry).withColumn("kept", ~F.col("rules.base_failed") & (F.col("rules.score") >= self.threshold))
         self.kept_rows = self.judged.where("kept").select("doc.*")
