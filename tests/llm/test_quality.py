@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from offerlake.llm import common, quality
 
 
@@ -55,3 +56,13 @@ def test_ids_beyond_a_broadcast_select_the_same_rows(spark, monkeypatch):
     many = common.with_ids(docs, "id", ids)
     assert many.columns == docs.columns and sorted(r.text for r in many.collect()) == few
     assert common.candidates(docs, "id", ids.toDF("_id")).count() <= len(few) + 5
+
+
+def test_the_pipeline_keeps_trusted_documents_of_any_hash(spark, tmp_path):
+    rows, late = trusted_rows(spark, 21_000)
+    spark.createDataFrame([(*r, "en", "s1", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(21_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert late and late <= kept
+    assert not any(i >= 21_000 for i in kept)
