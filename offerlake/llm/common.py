@@ -72,7 +72,7 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     ids = ids.toDF("_id")
     if fits(ids.count(), ID_BYTES):
         return df.join(F.broadcast(ids), F.col(key) == F.col("_id"), "left_semi")
-    return candidates(df, key, ids).join(ids, F.col(key) == F.col("_id"), "left_semi")
+    return candidates(df, key, ids).join(ids.hint("merge"), F.col(key) == F.col("_id"), "left_semi")  # Spark may think many ids small
 
 
 def candidates(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:

@@ -58,6 +58,15 @@ def test_ids_beyond_a_broadcast_select_the_same_rows(spark, monkeypatch):
     assert common.candidates(docs, "id", ids.toDF("_id")).count() <= len(few) + 5
 
 
+def test_ids_beyond_a_broadcast_are_joined_by_key(spark, monkeypatch, tmp_path):
+    spark.range(1_000).write.parquet(f"{tmp_path}/ids")  # few bytes on disk: Spark by itself would broadcast them
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    found = common.with_ids(spark.range(3_000).toDF("key"), "key", spark.read.parquet(f"{tmp_path}/ids"))
+    assert found.count() == 1_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1  # the ids, and the bitmap
+
+
 def test_the_pipeline_keeps_trusted_documents_of_any_hash(spark, tmp_path):
     rows, late = trusted_rows(spark, 21_000)
     spark.createDataFrame([(*r, "en", "s1", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
