@@ -98,17 +98,23 @@ def refreshed_offers(offers: DataFrame, items: DataFrame, processed: DataFrame)
     return offers.join(last, "external_id", "left").select("id", F.coalesce("_free", "free_shipping").alias("free_shipping"), (~F.coalesce("_free", "free_shipping").eqNullSafe(F.col("free_shipping"))).alias("changed"))
 
 
+def judged(items: DataFrame, publish_all: bool = False) -> tuple[DataFrame, Column, Column, Column]:
+    """Items with their brands and confidence; their issues, the decision on them, and whether they are published."""
+    title = F.col("title")
+    items = items.withColumn("_brands", T.trusted_brands(title, F.col("brand"))).withColumn("confidence", T.brand_confidence(title, F.col("brand"), F.col("_brands")))
+    issues = T.card_issues(title, F.col("url"), F.col("image"), F.col("price"), F.col("discount"))
+    decision = T.approval(F.col("_brands"), F.col("confidence"), issues)
+    passes = F.lit(publish_all) | ((decision == "auto_approved") & (F.coalesce("discount", F.lit(0)) >= AUTO_DISCOUNT))
+    return items, issues, decision, passes
+
+
 def routed(items: DataFrame, triage: DataFrame, publish_all: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Untriaged items (by hash and by external id), the first of each hash, with what becomes of them: published or pending.
     Columns of the items may be carried, then with ``brand_detected``."""
     seen_hash, seen_id = triage.select("content_hash").distinct(), triage.where("external_id is not null").select("external_id").distinct()
     fresh = items.join(seen_hash, "content_hash", "left_anti").join(seen_id, "external_id", "left_anti")
-    fresh = first_rows_by(fresh, ["content_hash"], ["position", "item_id"])
+    fresh, issues, decision, passes = judged(first_rows_by(fresh, ["content_hash"], ["position", "item_id"]), publish_all)
     title = F.col("title")
-    fresh = fresh.withColumn("_brands", T.trusted_brands(title, F.col("brand"))).withColumn("confidence", T.brand_confidence(title, F.col("brand"), F.col("_brands")))
-    issues = T.card_issues(title, F.col("url"), F.col("image"), F.col("price"), F.col("discount"))
-    decision = T.approval(F.col("_brands"), F.col("confidence"), issues)
-    passes = F.lit(publish_all) | ((decision == "auto_approved") & (F.coalesce("discount", F.lit(0)) >= AUTO_DISCOUNT))
     return fresh.select(
         "content_hash", "item_id", F.when(passes, "published").otherwise("pending").alias("route"), decision.alias("decision"), F.array_join(issues, ",").alias("issues"), "confidence",
         F.when(F.col("discount") >= 20, 1).otherwise(0).alias("priority"), F.when(passes, X.published_slug(title, F.col("content_hash"))).alias("slug"),

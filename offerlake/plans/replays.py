@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import first_rows
 from ..registry import query
-from ..sources.shared import shared_path
+from ..sources.shared import delete, freed_shuffles, shared_path
 from ..streaming import events as E
 from ..streaming import membership as M
 from ..streaming.runs import RunState, merge_runs
@@ -38,13 +38,16 @@ _MEMBERS = _each_run("""
     m{r} AS MATERIALIZED (SELECT id, source_id, external_item_id, content_hash, raw_title, CASE WHEN gone THEN missed + 1 < 2 ELSE is_active END AS is_active, last_batch, CASE WHEN gone THEN missed + 1 ELSE missed END AS missed FROM gon{r})""")
 
 
-def _merged(v) -> RunState:
-    """A run arrives, and the stream goes on from where it stopped."""
+def _merged(v, routes_only: bool = False) -> RunState:
+    """A run arrives, and the stream goes on from where it stopped. A run's files go when it is merged, as do the versions before it."""
     spark, items = v.spark, v.v_run_items
-    state, checkpoint, files = RunState(spark, shared_path(spark, "runs"), buckets=8), shared_path(spark, "runs-checkpoint"), shared_path(spark, "run-files")
+    state = RunState(spark, shared_path(spark, "runs"), buckets=8, routes_only=routes_only, history=False)
+    checkpoint, files = shared_path(spark, "runs-checkpoint"), shared_path(spark, "run-files")
     for run in range(1, RUNS + 1):
-        items.where(F.col("run_no") == run).write.mode("append").parquet(files)
-        merge_runs(spark.readStream.schema(items.schema).parquet(files), state, checkpoint)
+        with freed_shuffles(spark):
+            items.where(F.col("run_no") == run).write.option("compression", "zstd").parquet(f"{files}/r{run}")
+        merge_runs(spark.readStream.schema(items.schema).parquet(f"{files}/*"), state, checkpoint)
+        delete(spark, f"{files}/r{run}")
     return state
 
 
@@ -66,7 +69,7 @@ _ROUTES = "k0 AS (SELECT NULL::VARCHAR AS content_hash, NULL::VARCHAR AS promoti
 
 @query("stream_run_routes", f"WITH {_ROUTES} SELECT * FROM k{RUNS}")
 def stream_run_routes(v):
-    return _merged(v).known.read()
+    return _merged(v, routes_only=True).known.read()
 
 
 _METRICS = " UNION ALL ".join(f"""SELECT {r} AS run_no, a.raw, a.parsed, b.collected, c.new, c.auto_approved, b.deactivated, a.raw - a.parsed AS errors, CASE WHEN a.parsed > 0 THEN 'completed' ELSE 'failed' END AS status

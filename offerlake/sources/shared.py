@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; only a local session may go without the setting."""
@@ -18,3 +21,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no job needs any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """A job's shuffle files go when it ends, for the jobs within; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(_FREED)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)

@@ -5,7 +5,8 @@ lies in buckets by its content's hash, routed external ids in buckets by the id.
 number: a run that comes again, in the same batch id or in another, changes nothing, and so does one older than the
 last. A run reads the versions before its own, so one that stopped between two stores runs again alike.
 
-A run's figures are observed while its stores are written, so no scan is made for them.
+A run's figures are observed while its stores are written, so no scan is made for them. Items are judged where they are
+read, and rows are shuffled with what the stores need of them; shuffle files go with their job.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import runs as R
+from ..sources.shared import freed_shuffles
 from .store import BucketedStore
 
 
@@ -42,12 +44,15 @@ def parsed() -> Column:
 
 @dataclass
 class RunState:
-    """The stores under a root, and what a run makes of them."""
+    """The stores under a root, and what a run makes of them. With ``routes_only`` memberships and figures are left out;
+    without ``history`` the versions before the last run go."""
 
     spark: SparkSession
     root: str
     buckets: int = 32
     least_items: int = LEAST_ITEMS
+    routes_only: bool = False
+    history: bool = True
 
     def __post_init__(self) -> None:
         self.members = BucketedStore(self.spark, f"{self.root}/members", ["source_id"], MEMBERS, self.buckets)
@@ -63,23 +68,33 @@ class RunState:
         done = self.ids.versions()  # the store that is committed last says that all are
         if done and run <= done[-1]:
             return
-        seen, merged, routes = Observation(), Observation(), Observation()
         good = items.where(parsed())
         of = lambda store, where: F.collect_set(F.when(where, store.bucket()))
         named = parsed() & F.col("external_id").isNotNull()
         by_source, by_hash, by_id = items.agg(of(self.members, F.lit(True)), of(self.known, parsed()), of(self.ids, named)).first()  # numbers of buckets
-        members, known, ids = self.members.read(run - 1, by_source), self.known.read(run - 1, by_hash), self.ids.read(run - 1, by_id)
-        members = self._seen(members, good, f"r{run}")
+        known, ids = self.known.read(run - 1, by_hash), self.ids.read(run - 1, by_id)
+        known = self._routed(known, ids, good, run)
+        if self.routes_only:
+            self.known.commit(run, known, by_hash, beside=["routed_id"])
+        else:
+            self._measured(items, self._seen(self.members.read(run - 1, by_source), good, f"r{run}"), by_source, known, by_hash, run)
+        new_ids = self.known.written(run, "routed_id string").select(F.col("routed_id").alias("external_id")).where("external_id is not null")
+        self.ids.commit(run, ids.unionByName(new_ids).distinct(), by_id)
+        if not self.history:
+            for store in (self.members, self.known, self.ids):
+                store.forget(run)
+
+    def _measured(self, items: DataFrame, members: DataFrame, by_source: list[int], known: DataFrame, by_hash: list[int], run: int) -> None:
+        """Commits memberships and known items, and writes the run's figures."""
+        seen, merged, routes = Observation(), Observation(), Observation()
         self.members.commit(run, members.observe(merged, F.count_if("left").alias("deactivated"), F.count_if(F.col("last_batch") == f"r{run}").alias("collected")), by_source)
-        known, ids = self._routed(known, ids, good, run)
         fresh = F.col("new_route").isNotNull()
-        self.known.commit(run, known.observe(routes, F.count_if(fresh).alias("new"), F.count_if(fresh & (F.col("new_route") == "published")).alias("auto_approved")), by_hash)
+        self.known.commit(run, known.observe(routes, F.count_if(fresh).alias("new"), F.count_if(fresh & (F.col("new_route") == "published")).alias("auto_approved")), by_hash, beside=["routed_id"])
         counted = items.select(parsed().alias("parsed")).observe(seen, F.count(F.lit(1)).alias("raw"), F.count_if("parsed").alias("parsed"))
         counted.write.format("noop").mode("overwrite").save()  # the batch alone, no state
         found = {**seen.get, **merged.get, **routes.get}
         row = (run, found["raw"], found["parsed"], found["collected"], found["new"], found["auto_approved"], found["deactivated"], found["raw"] - found["parsed"], "completed" if found["parsed"] else "failed")
         self.spark.createDataFrame([row], METRICS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/metrics/r{run}")
-        self.ids.commit(run, ids, by_id)
 
     @property
     def metrics(self) -> DataFrame:
@@ -90,21 +105,28 @@ class RunState:
         counted = items.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.least_items)
         return R.with_misses(R.upserted_memberships(members, items, run), run, counted)
 
-    def _routed(self, known: DataFrame, ids: DataFrame, items: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
-        """Items of known hashes refresh them, others are new; what was never routed, by hash or id, is."""
-        triage = known.where("route is not null").select("content_hash", F.lit(None).cast("string").alias("external_id")).unionByName(ids.select(F.lit(None).cast("string").alias("content_hash"), "external_id"))
-        routed = R.routed(items, triage)
-        last = R.last_rows(items, ["content_hash"], ["position", "item_id"]).select("content_hash", F.col("promotion_type").alias("_promotion"), F.col("free_shipping").alias("_free"))
-        came = last.join(routed.select("content_hash", F.col("route").alias("new_route")), "content_hash", "left")
-        after = known.join(came, "content_hash", "full").select(
-            "content_hash", F.coalesce("_promotion", "promotion_type").alias("promotion_type"), F.coalesce("_free", "free_shipping").alias("free_shipping"),
-            F.coalesce("route", "new_route").alias("route"), F.coalesce("first_run", F.lit(run)).alias("first_run"), "new_route",
+    def _routed(self, known: DataFrame, ids: DataFrame, items: DataFrame, run: int) -> DataFrame:
+        """Items of known hashes refresh them, others are new; what was never routed, by hash or id, is.
+        ``new_route`` and ``routed_id`` tell the route that a hash gets in this run, and the external id it came with."""
+        judged, _, _, passes = R.judged(items)
+        order = ["position", "item_id"]
+        rows = judged.select("content_hash", "external_id", *order, "promotion_type", "free_shipping", F.coalesce(passes, F.lit(False)).alias("passes"))
+        named = rows.where("external_id is not null").join(ids.withColumn("_taken", F.lit(True)), "external_id", "left")
+        rows = named.unionByName(rows.where("external_id is null"), allowMissingColumns=True)
+        came = rows.groupBy("content_hash").agg(
+            F.max(F.struct(*order, F.col("promotion_type").alias("promotion"), F.col("free_shipping").alias("free"))).alias("last"),
+            F.min(F.when(F.col("_taken").isNull(), F.struct(*order, "passes", "external_id"))).alias("first"),
+        )
+        fresh = F.col("route").isNull() & F.col("first").isNotNull()
+        after = known.join(came, "content_hash", "full").withColumn("new_route", F.when(fresh & F.col("content_hash").isNotNull(), F.when(F.col("first.passes"), "published").otherwise("pending")))
+        return after.select(
+            "content_hash", F.coalesce("last.promotion", "promotion_type").alias("promotion_type"), F.coalesce("last.free", "free_shipping").alias("free_shipping"),
+            F.coalesce("route", "new_route").alias("route"), F.coalesce("first_run", F.lit(run)).alias("first_run"), "new_route", F.when(fresh, F.col("first.external_id")).alias("routed_id"),
         )
-        new_ids = items.select("item_id", "external_id").where("external_id is not null").join(routed.select("item_id"), "item_id", "left_semi").select("external_id")
-        return after, ids.unionByName(new_ids).distinct()
 
 
 def merge_runs(stream: DataFrame, state: RunState, checkpoint: str) -> None:
     """All runs that are there now, from where the checkpoint stands."""
-    query = stream.writeStream.foreachBatch(state.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with freed_shuffles(state.spark):
+        query = stream.writeStream.foreachBatch(state.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()

@@ -2,14 +2,14 @@
 
 A version is a manifest, a small file that names the folder of each bucket; renaming it to its place makes the version
 count. A commit of a version that is there changes nothing, so a micro-batch may run again. Readers take the manifest
-of a version, so they never see half a commit, and older versions stay readable.
+of a version, so they never see half a commit, and older versions stay readable until they are forgotten.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,19 +67,34 @@ class BucketedStore:
         held = self.manifest(version)
         chosen = held.keys() if buckets is None else held.keys() & set(buckets)
         folders = [f"{self.root}/{held[b]}" for b in sorted(chosen)]
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema).limit(0)
 
-    def commit(self, version: int, rows: DataFrame, touched: Iterable[int]) -> bool:
+    def commit(self, version: int, rows: DataFrame, touched: Iterable[int], beside: Sequence[str] = ()) -> bool:
         """Replaces the touched buckets by the rows, all of which lie in them. False if the version was there.
 
-        Columns beyond the schema may be there for what observes the rows; they are not written.
+        Columns beyond the schema may be there for what observes the rows; only those named ``beside`` are written, for ``written``.
         """
         if self.committed(version):
             return False
         held = {b: f for b, f in self.manifest(version).items() if b not in set(touched)}
         data = f"data/v{version}"
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
-        rows.select(*columns, self.bucket().alias("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{data}")
+        rows.select(*columns, *beside, self.bucket().alias("_bucket")).write.mode("overwrite").option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.root}/{data}")
         held |= {int(n.split("=")[1]): f"{data}/{n}" for n in self._names(data) if n.startswith("_bucket=")}
         self._write_manifest(version, held)
         return True
+
+    def written(self, version: int, columns: str) -> DataFrame:
+        """What the commit of a version wrote, with columns beside the schema's."""
+        return self.spark.read.schema(columns).parquet(f"{self.root}/data/v{version}")
+
+    def forget(self, version: int) -> None:
+        """Deletes the versions before a committed one, and the folders that only they name."""
+        for old in self.versions():
+            if old < version:
+                self._files.delete(self._path("manifest", f"v{old}.json"), False)
+        held = {f for v in self.versions() for f in self.manifest(v).values()}
+        for data in (f"data/{n}" for n in self._names("data") if int(n[1:]) < version):
+            folders = [f"{data}/{n}" for n in self._names(data) if n.startswith("_bucket=")]
+            for gone in [f for f in folders if f not in held] if held.intersection(folders) else [data]:
+                self._files.delete(self._path(gone), True)

@@ -3,12 +3,16 @@
 import datetime
 import glob
 import os
+import random
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerlake.operators import runs as R
+from offerlake.plans.replays import _merged
+from offerlake.sources.bindings import Views
 from offerlake.streaming import events as E
 from offerlake.streaming import membership as M
 from offerlake.streaming.runs import MEMBERS, RunState, merge_runs
@@ -165,3 +169,90 @@ def test_a_commit_writes_the_buckets_that_it_touches(spark):
     assert store.read(0).where("v = 2").count() == 0 and store.versions() == [0, 1]
     assert store.commit(2, spark.createDataFrame([], store.schema), touched)  # a bucket may empty
     assert store.read().where(F.col("k") == 5).count() == 0 and store.read().count() > 900
+
+
+def test_a_store_forgets_what_only_older_versions_name(spark):
+    store = BucketedStore(spark, folder(), ["k"], spark.range(0).selectExpr("id k", "id v").schema, buckets=4)
+    rows = lambda v: spark.range(100).selectExpr("id k", f"id * 0 + {v} v", "id + 1000 extra").where(store.bucket().isin(*range(v, 4)))
+    for v in range(3):
+        store.commit(v, rows(v), range(v, 4), beside=["extra"])
+    assert store.written(2, "k long, extra long").where("extra = k + 1000").count() == rows(2).count()
+    before = sorted(map(tuple, store.read().collect()))
+    store.forget(2)
+    assert store.versions() == [2] and sorted(map(tuple, store.read().collect())) == before and len(before) == 100
+    assert {n: len(glob.glob(f"{store.root}/data/{n}/_bucket=*")) for n in os.listdir(f"{store.root}/data")} == {"v0": 1, "v1": 1, "v2": 2}
+    store.commit(3, rows(0), range(4))
+    store.forget(3)
+    assert os.listdir(f"{store.root}/data") == ["v3"] and store.read(3).count() == 100
+
+
+def shuffled(but=()):
+    """Bytes of the shuffle files that are there, by path."""
+    return {f: os.path.getsize(f) for f in glob.glob("/tmp/blockmgr-*/*/shuffle_*") if f not in but and os.path.exists(f)}
+
+
+def test_routes_leave_only_the_last_state_on_disk(spark):
+    before = shuffled()
+    state = _merged(Views(spark, "/root/testdata/sf0.001"), routes_only=True)
+    assert state.known.read().count() > 2000
+    root = state.root.removeprefix("file://")
+    assert sorted(os.listdir(root)) == ["ids", "known"]  # memberships are no part of the routes
+    for name in ("ids", "known"):
+        assert os.listdir(f"{root}/{name}/data") == ["v3"] and [n for n in os.listdir(f"{root}/{name}/manifest") if not n.startswith(".")] == ["v3.json"]
+    last = max(glob.glob(f"{os.path.dirname(root)}/run-files-*"), key=os.path.getmtime)
+    assert not glob.glob(f"{last}/**/*.parquet", recursive=True)  # merged runs are not kept
+    for _ in range(50):  # files are deleted in the background
+        if sum(shuffled(before).values()) < 10_000:
+            break
+        time.sleep(0.2)
+    assert sum(shuffled(before).values()) < 10_000  # numbers of buckets; a run's items take more
+
+
+def routes_by_hand(runs):
+    """(promotion, shipping, route, first run) of each hash, item by item."""
+    known, taken = {}, set()
+    for run, rows in enumerate(runs, 1):
+        items = sorted((r for r in rows if r[7] is not None and r[7] > 0), key=lambda r: (r[13], r[0]))
+        first = {}
+        for r in items:
+            if (known.get(r[6]) or [None] * 3)[2] is None and r[2] not in taken:
+                first.setdefault(r[6], r)
+        for r in items:
+            old = known.get(r[6])
+            known[r[6]] = [r[11], r[10], old[2] if old else None, old[3] if old else run]
+        for key, r in first.items():
+            known[key][2] = "published" if r[3].startswith("Nike") and r[9] >= 30 else "pending"
+        taken |= {r[2] for r in first.values() if r[2] is not None}
+    return {k: tuple(v) for k, v in known.items()}
+
+
+@pytest.mark.parametrize("routes_only", [True, False])
+def test_routes_equal_those_made_item_by_item(spark, routes_only):
+    draw = random.Random(5)
+    one = lambda run, n: (
+        f"{run}-{n}", n % 3, draw.choice([None, *(f"E{i}" for i in range(25))]), draw.choice(["Nike Revolution 7 Preto", "Sandalia sem marca"]), "Nike" if n % 2 else None, "https://i.test/1.jpg", f"h{draw.randrange(60)}",
+        draw.choice([None, 0.0, 9.0, 10.0, 12.0]), 20.0, draw.choice([10, 30, 50]), draw.random() < 0.5, draw.choice(["general", "lightning"]), "https://x.test/p", draw.randrange(9), run,
+    )
+    runs = [[one(run, n) for n in range(60)] for run in (1, 2, 3)]
+    runs = [[(*r[:4], "Nike" if r[3].startswith("Nike") else None, *r[5:]) for r in rows] for rows in runs]
+    state, path, checkpoint = RunState(spark, folder(), buckets=4, routes_only=routes_only, history=False), folder(), folder()
+    for run, rows in enumerate(runs, 1):
+        spark.createDataFrame(rows, ITEM).write.parquet(f"{path}/r{run}")
+        merge_runs(spark.readStream.schema(ITEM).parquet(f"{path}/*"), state, checkpoint)
+        found = {r.content_hash: (r.promotion_type, r.free_shipping, r.route, r.first_run) for r in state.known.read().collect()}
+        assert found == routes_by_hand(runs[:run])
+    assert {r[2] for r in found.values()} == {"published", "pending", None}
+
+
+def test_routes_of_a_run_that_stopped_between_its_stores_go_on(spark, runs):
+    root, path, checkpoint = folder(), folder(), folder()
+    state = RunState(spark, root, buckets=4, routes_only=True, history=False)
+    commit, state.ids.commit = state.ids.commit, None  # the first try stops when the known items are committed
+    spark.createDataFrame(runs[0], ITEM).write.parquet(f"{path}/r1")
+    stream = lambda: spark.readStream.schema(ITEM).parquet(f"{path}/*")
+    with pytest.raises(Exception):  # noqa: B017
+        merge_runs(stream(), state, checkpoint)
+    assert state.known.versions() == [1] and state.ids.versions() == []
+    state.ids.commit = commit
+    merge_runs(stream(), state, checkpoint)
+    assert {r.external_id for r in state.ids.read().collect()} == {f"E{k}" for k in range(12)} and state.known.read().where("route = 'published'").count() == 12
